@@ -11,7 +11,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 10_000):
+    for m in range(1, 1_000_000):
         for term in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -48,10 +48,7 @@ def normal_two_sided(z: float) -> float:
 
 def sign_test_two_sided(a: int, b: int) -> float:
     """Exact two-sided binomial(1/2) p-value of discordant counts."""
-    n = a + b
+    n, low = a + b, min(a, b)
     if n == 0:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2.0)
-            for k in range(min(a, b) + 1)]
-    top = max(logs)
-    return min(1.0, 2.0 * math.exp(top) * math.fsum(math.exp(v - top) for v in logs))
+    return min(1.0, 2.0 * incomplete_beta(n - low, low + 1.0, 0.5))
