@@ -25,21 +25,19 @@ def permutation_attributions(df: DataFrame, features, score: Callable[[Callable[
     hash order equals its own place in the id order; both places are distributed row numbers.
     """
     features = list(features)
-    base = score(F.col)
-    held = df.select(row_id, *features, base.alias("_p")).withColumn("_class", argmax_first("_p"))
+    held = df.select(row_id, *features, score(F.col).alias("_p")).withColumn("_class", argmax_first("_p"))
     held = held.withColumn("_base", entry("_p", F.col("_class"))).drop("_p")
     placed = durable(row_numbers(held, [], [row_id], "_place", rows_per_range=rows_per_range))
-    drops = None
-    for feature in features:
-        for repeat in range(repeats):
-            order = placed.select(F.col(feature).alias("_swap"), hash_uniform("perm", seed, feature, repeat, F.col(row_id)).alias("_u"),
-                                  F.col(row_id).alias("_other"))
-            donors = row_numbers(order, [], ["_u", "_other"], "_place", rows_per_range=rows_per_range).select("_place", "_swap")
-            swapped = placed.join(donors, "_place")
-            proba = score(lambda name, f=feature: F.col("_swap") if name == f else F.col(name))
-            part = swapped.withColumn("_q", proba).select(
-                row_id, F.lit(feature).alias("feature"), (F.col("_base") - entry("_q", F.col("_class"))).alias("_drop"))
-            drops = part if drops is None else drops.unionByName(part)
+    trials = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col(f).cast("double").alias("_swap"))
+                                 for f in features for r in range(repeats)])).alias("_trial")
+    donors = placed.select(F.col(row_id).alias("_other"), trials).select("_other", "_trial.*")
+    donors = donors.withColumn("_u", hash_uniform("perm", seed, F.col("feature"), F.col("repeat"), F.col("_other")))
+    donors = row_numbers(donors, ["feature", "repeat"], ["_u", "_other"], "_place", rows_per_range=rows_per_range)
+    targets = placed.select("*", trials).select(*placed.columns, "_trial.feature", "_trial.repeat")
+    swapped = targets.join(donors.select("feature", "repeat", "_place", "_swap"), ["feature", "repeat", "_place"])
+    proba = score(lambda name: F.when(F.col("feature") == name, F.col("_swap")).otherwise(F.col(name)))
+    drops = swapped.withColumn("_q", proba).select(
+        row_id, "feature", (F.col("_base") - entry("_q", F.col("_class"))).alias("_drop"))
     return drops.groupBy(row_id, "feature").agg(F.avg("_drop").alias("attribution"))
 
 
