@@ -32,12 +32,17 @@ class Ranged:
     ranges: int
 
 
-def cut_ranges(df: DataFrame, keys, order, *, rows_per_range: int | None = None, durable_input: bool = False) -> Ranged:
-    """Cut rows into contiguous ranges of (keys, order); one range when the count shows it is small."""
+def cut_ranges(df: DataFrame, keys, order, *, rows_per_range: int | None = None, durable_input: bool = False,
+               rows: int | None = None) -> Ranged:
+    """Cut rows into contiguous ranges of (keys, order); one range when the count shows it is small.
+
+    ``rows`` is a known row count (a table scan answers it from file footers); otherwise the input is made durable and
+    counted, so an expensive input is computed once.
+    """
     keys, order = list(keys), list(order)
     limit = rows_per_range or ROWS_PER_RANGE
-    source = df if durable_input else durable(df)
-    ranges = max(1, math.ceil(source.count() / limit))
+    source = df if durable_input or rows is not None else durable(df)
+    ranges = max(1, math.ceil((source.count() if rows is None else rows) / limit))
     if ranges == 1:
         return Ranged(source.withColumn(RANGE, F.lit(0)), keys, order, 1)
     cut = source.repartitionByRange(ranges, *keys, *order).withColumn(RANGE, F.spark_partition_id())
@@ -96,22 +101,24 @@ def accumulate(ranged: Ranged, measures: dict[str, tuple[str, Column]], *, desce
     return Ranged(out, ranged.keys, ranged.order, ranged.ranges)
 
 
-def row_numbers(df: DataFrame, keys, order, name: str = "seq", *, rows_per_range: int | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, keys, order, name: str = "seq", *, rows_per_range: int | None = None,
+                rows: int | None = None) -> DataFrame:
     """One-based position of each row within its keys."""
-    ranged = cut_ranges(df, keys, order, rows_per_range=rows_per_range)
+    ranged = cut_ranges(df, keys, order, rows_per_range=rows_per_range, rows=rows)
     return accumulate(ranged, {name: ("sum", F.lit(1).cast("bigint"))}).rows.drop(RANGE)
 
 
-def next_values(df: DataFrame, keys, order, values: dict[str, Column], *, rows_per_range: int | None = None) -> DataFrame:
+def next_values(df: DataFrame, keys, order, values: dict[str, Column], *, rows_per_range: int | None = None,
+                rows: int | None = None) -> DataFrame:
     """Values of the following row within the keys, null on the last row."""
-    ranged = cut_ranges(df, keys, order, rows_per_range=rows_per_range)
+    ranged = cut_ranges(df, keys, order, rows_per_range=rows_per_range, rows=rows)
     packed = F.struct(*[c.alias(n) for n, c in values.items()])
     if ranged.ranges == 1:
         ordered = Window.partitionBy(*ranged.keys).orderBy(*ranged.order)
         return ranged.rows.select(*df.columns, *[F.lead(c).over(ordered).alias(n) for n, c in values.items()])
-    rows = ranged.rows.withColumn("_packed", packed)
+    whole = ranged.rows.withColumn("_packed", packed)
     nearest = {"_ahead": ("last", F.col("_packed"))}
-    ahead = accumulate(Ranged(rows, ranged.keys, ranged.order, ranged.ranges), nearest, descending=True, exclusive=True)
+    ahead = accumulate(Ranged(whole, ranged.keys, ranged.order, ranged.ranges), nearest, descending=True, exclusive=True)
     return ahead.rows.select(*df.columns, *[F.col(f"_ahead.{n}").alias(n) for n in values])
 
 
