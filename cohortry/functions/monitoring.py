@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cohortry.fixed import ENTROPY_HARD, ENTROPY_SOFT, ERROR_HARD, ERROR_SOFT, ONLINE_RATE, PROXIMAL_RATE
-from cohortry.functions.vectors import col, items, total
+from cohortry.functions.vectors import bind, col, items, total
 
 
 def update_action(error, soft: float = ERROR_SOFT, hard: float = ERROR_HARD) -> Column:
@@ -23,5 +23,6 @@ def proximal_step(weights, gradient, anchor, width: int, *, rate: float = ONLINE
     """Gradient step pulled to the anchor, clipped at zero and renormalised; uniform when nothing is left."""
     moved = [F.greatest(w - F.lit(rate) * g - F.lit(proximal) * (w - a), F.lit(0.0))
              for w, g, a in zip(items(weights, width), items(gradient, width), items(anchor, width))]
-    mass = total(moved)
-    return F.array(*[F.when(mass > 0, m / mass).otherwise(F.lit(1.0 / width)) for m in moved])
+    uniform = F.array(*[F.lit(1.0 / width)] * width)
+    scaled = lambda a: bind(total(items(a, width)), lambda mass: F.when(mass > 0, F.transform(a, lambda m: m / mass)).otherwise(uniform))
+    return bind(F.array(*moved), scaled)

@@ -43,10 +43,21 @@ def argmax_first(vector) -> Column:
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
-def normalised(terms: list[Column]) -> Column:
-    """Array of the terms divided by their sum (floored at 1e-12)."""
-    s = F.greatest(total(terms), F.lit(1e-12))
-    return F.array(*[t / s for t in terms])
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and named, however often the body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def normalised(terms: list[Column], *, flat: bool = False) -> Column:
+    """Array of the terms divided by their sum (floored at 1e-12).
+
+    ``flat`` unrolls cheap terms into generated code; otherwise the terms are bound once, so nesting stays linear.
+    """
+    floor = F.lit(1e-12)
+    if flat:
+        s = F.greatest(total(terms), floor)
+        return F.array(*[t / s for t in terms])
+    return bind(F.array(*terms), lambda a: bind(F.greatest(total(items(a, len(terms))), floor), lambda s: F.transform(a, lambda v: v / s)))
 
 
 def entry(vector, index: Column) -> Column:
@@ -55,8 +66,8 @@ def entry(vector, index: Column) -> Column:
 
 
 def softmax(scores: list[Column]) -> Column:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return normalised([F.exp(s - top) for s in scores])
+    shifted = lambda a: bind(F.array_max(a), lambda top: F.transform(a, lambda v: F.exp(v - top)))
+    return bind(bind(F.array(*scores), shifted), lambda e: normalised(items(e, len(scores))))
 
 
 def sigmoid(c: Column) -> Column:

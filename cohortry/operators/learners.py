@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.fixed import N_CLASSES
-from cohortry.functions.vectors import items, normalised, sigmoid, softmax, total
+from cohortry.functions.vectors import bind, items, normalised, sigmoid, softmax, total
 
 
 def complete(parts: dict[int, Column], width: int = N_CLASSES) -> Column:
     """Class probabilities placed by class id; uniform when they sum to nothing, then renormalised."""
-    placed = [parts.get(i, F.lit(0.0)) for i in range(width)]
-    empty = total(placed) <= 0
-    return normalised([F.when(empty, F.lit(1.0 / width)).otherwise(p) for p in placed])
+    placed = F.array(*[parts.get(i, F.lit(0.0)) for i in range(width)])
+    uniform = F.array(*[F.lit(1.0 / width)] * width)
+    return bind(placed, lambda a: normalised(items(F.when(total(items(a, width)) <= 0, uniform).otherwise(a), width)))
 
 
 def class_counts(df: DataFrame, label: str) -> dict[int, int]:
@@ -68,10 +68,8 @@ class LinearModel:
         margins = [total(v * F.lit(float(b)) for v, b in zip(x, beta)) + F.lit(float(a))
                    for beta, a in zip(self.coefficients, self.intercepts)]
         if len(margins) == 1:
-            p = sigmoid(margins[0])
-            return complete({self.classes[0]: F.lit(1.0) - p, self.classes[1]: p}, self.width)
-        scored = softmax(margins)
-        return complete({c: scored[i] for i, c in enumerate(self.classes)}, self.width)
+            return bind(sigmoid(margins[0]), lambda p: complete({self.classes[0]: F.lit(1.0) - p, self.classes[1]: p}, self.width))
+        return bind(softmax(margins), lambda scored: complete({c: scored[i] for i, c in enumerate(self.classes)}, self.width))
 
     def contract(self) -> dict:
         return {"classes": self.classes, "coef": self.coefficients, "intercept": self.intercepts}

@@ -56,9 +56,9 @@ def _curated() -> str:
         "race_asian": "coalesce(regexp_matches(lower(race),'asian'),false)::INT::DOUBLE",
         "race_other": "coalesce(regexp_matches(lower(race),'other|black|white|unknown'),false)::INT::DOUBLE",
         "nbnc": "(coalesce(hbv_positive,0)=0 AND coalesce(hcv_positive,0)=0)::INT::DOUBLE", "alcohol_related": "alcohol_use",
-        "log_afp": "ln(1+greatest(afp,0))", "platelets": "platelet", "neutrophil_lymphocyte_ratio": "nlr",
+        "log_afp": "CASE WHEN afp IS NOT NULL THEN ln(1+greatest(afp,0)) END", "platelets": "platelet", "neutrophil_lymphocyte_ratio": "nlr",
         "liver_recovery_score": "CASE WHEN age IS NOT NULL THEN least(1,greatest(0, 1.0::DOUBLE-0.01::DOUBLE*greatest(age-50,0)-0.2::DOUBLE*coalesce(cirrhosis,0))) END",
-        "log_tumor_size": "ln(1+greatest(tumor_size_cm,0))", "bclc_stage": bclc + "::DOUBLE",
+        "log_tumor_size": "CASE WHEN tumor_size_cm IS NOT NULL THEN ln(1+greatest(tumor_size_cm,0)) END", "bclc_stage": bclc + "::DOUBLE",
         "planned_margin_risk": "anticipated_margin_risk", "systemic_agents": null, "treatment_no_resection": surg(null, "none|no"),
         "treatment_ablation": surg(null, "ablation|rfa"), "treatment_resection": surg("treatment_resection", "resection"),
         "tumor_number_gt3": tr("lesion_count>3"), "size_gt5": tr("tumor_size_cm>5"), "afp_gt400": kn("afp>400", "afp IS NOT NULL"),

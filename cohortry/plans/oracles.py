@@ -96,7 +96,7 @@ oracle("state_vector", "SELECT * FROM state", " ".join(STATE))
 MASKED = set(range(12, 18)) | set(range(32, 36))
 oracle("masked_state", " UNION ALL ".join(
     f"SELECT {i}::BIGINT AS coordinate, 0e0 AS mean_abs" if i in MASKED else f"SELECT {i}::BIGINT AS coordinate, avg(abs(s{i})) AS mean_abs FROM state" for i in range(46)), "mean_abs")
-oracle("inference_frame", "SELECT row_id, patient_id, arm::BIGINT AS arm, x1, x2 FROM cohort", "x1 x2")
+oracle("inference_frame", "SELECT row_id, patient_id, arm::BIGINT AS arm, x1*1e5 AS x1, x2*1e4 AS x2 FROM cohort", "x1 x2")
 
 # survival
 oracle("horizon_outcome", "SELECT row_id, ((event=1 AND t<=24) OR t>=24) AS observed, (t>24)::BIGINT AS outcome FROM cohort")
@@ -168,7 +168,7 @@ oracle("ordinal_risk", f"SELECT row_id, {risk('p')} AS risk, {argmax('p')}::BIGI
 
 
 def pairs(keys: str, p: str, tau: str, where: str = "true", rounding: bool = True) -> dict[str, str]:
-    value = f"round({risk(p)},3)" if rounding else risk(p)
+    value = f"round({risk(p)},{3 if rounding else 12})"
     same = " AND ".join(f"b.{k}=a.{k}" for k in keys.split(",")) if keys else "true"
     part = f"PARTITION BY {keys}" if keys else ""
     head = f"{keys}, " if keys else ""

@@ -197,7 +197,8 @@ def masked_state(spark, sf):
 
 @query
 def inference_frame(spark, sf):
-    return features.inference_frame(views.labelled(spark, sf).drop("cls"), time="t", event="event", label="label")
+    rows = features.inference_frame(views.labelled(spark, sf).drop("cls"), time="t", event="event", label="label")
+    return rows.withColumn("x1", F.col("x1") * F.lit(1e5)).withColumn("x2", F.col("x2") * F.lit(1e4))
 
 
 # survival

@@ -39,7 +39,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bumps(a: float, b: float, salt: str) -> Column:
     z = F.lit(8.0) * (F.lit(a) * F.least(F.col("t"), F.lit(90.0)) / F.lit(90.0) + F.lit(b) * hash_uniform(salt, F.col("row_id")))
-    return normalised([F.exp(-F.abs(F.lit(k + 0.5) - z)) for k in range(N_CLASSES)])
+    return normalised([F.exp(-F.abs(F.lit(k + 0.5) - z)) for k in range(N_CLASSES)], flat=True)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixed_propensity(arms: int = 5) -> Column:
     """A known softmax propensity over the arms, so contrasts can be checked against SQL."""
-    return normalised([F.exp(F.lit(0.1 * k) * F.col("x1") - F.lit(0.05 * k) * F.col("x2")) for k in range(arms)])
+    return normalised([F.exp(F.lit(0.1 * k) * F.col("x1") - F.lit(0.05 * k) * F.col("x2")) for k in range(arms)], flat=True)
 
 
 def fixed_outcome(arms: int = 5) -> Column:
