@@ -329,7 +329,8 @@ oracle("bootstrap_contrasts", f"SELECT *, {EV.format('risk_ratio')} AS e_value_p
        THREE + " e_value_point e_value_ci_bound " + " ".join(f"{n}_low {n}_high" for n in THREE.split()),
        point=three("compared", "action", "1"), drawn=draws("compared", "row_id", 40), reps=three("drawn", "rep, action", "w"))
 oracle("weighted_rmst_contrasts", "SELECT action::BIGINT AS action, max(rmst) FILTER (WHERE side='a')-max(rmst) FILTER (WHERE side='r') AS rmst_difference FROM (" + rmst("action, side", "csteps", 24) + ") GROUP BY action", "rmst_difference",
-       csteps="SELECT action, CASE WHEN arm=action THEN 'a' ELSE 'r' END AS side, t, sum(iptw*event) AS d, sum(sum(iptw)) OVER (PARTITION BY action, CASE WHEN arm=action THEN 'a' ELSE 'r' END ORDER BY t DESC) AS r FROM compared WHERE support AND (arm=action OR arm=0) GROUP BY ALL")
+       sided="SELECT *, CASE WHEN arm=action THEN 'a' ELSE 'r' END AS side FROM compared WHERE support AND (arm=action OR arm=0)",
+       csteps="SELECT action, side, t, sum(iptw*event) AS d, sum(sum(iptw)) OVER (PARTITION BY action, side ORDER BY t DESC) AS r FROM sided GROUP BY action, side, t")
 
 # scenarios
 ACTED_STATE = "SELECT s.*, a.arm FROM state s JOIN acted a USING (row_id)"

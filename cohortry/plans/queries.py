@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cohortry.fixed import CURATED, CUTPOINTS, SEEDS
 from cohortry.functions import endpoint, monitoring, scores
 from cohortry.functions.hashing import hash_uniform
-from cohortry.functions.vectors import argmax_first, floats, total
+from cohortry.functions.vectors import argmax_first, bind, floats, normalised, total
 from cohortry.operators import (
     attribution, concordance, contrasts, cox, features, fusion, learners, lifetable, longitudinal, metrics, moments, ood, ordered,
     paired, person_period, phenotypes, privacy, resample, scenarios, weights)
@@ -718,8 +718,7 @@ def forced_state(spark, sf):
 def _known_scorer(state: Column) -> Column:
     """Class chances from fixed coefficients on a few state coordinates."""
     margin = F.lit(0.5) * state[0] - F.lit(0.4) * state[12] + F.lit(0.6) * state[26] + F.lit(0.3) * state[29] - F.lit(0.2) * state[31]
-    e = [F.exp(F.lit(0.15 * k) * margin) for k in range(8)]
-    return F.array(*[x / total(e) for x in e])
+    return bind(margin, lambda m: normalised([F.exp(F.lit(0.15 * k) * m) for k in range(8)]))
 
 
 def _sweep(spark, sf):
