@@ -350,9 +350,9 @@ oracle("clinical_sweep", "SELECT row_id, arm::BIGINT AS arm, delta, delta_ci_low
        "delta delta_ci_low delta_ci_high confidence", **SWEPT, drawn_p=DRAWN_P)
 
 # monitoring, log and privacy
-ROLLING = "SELECT event_id, event_type, streaming_error, CASE WHEN streaming_error>0.32::DOUBLE THEN 'full_retrain' WHEN streaming_error>0.18::DOUBLE THEN 'soft_update' ELSE 'no_update' END AS action FROM (SELECT event_id, event_type, avg(residual) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS streaming_error FROM monitor_rows)"
-oracle("monitor_replay", ROLLING, "streaming_error")
-oracle("monitor_stream", ROLLING, "streaming_error")
+ROLLING = "SELECT event_id, event_type, streaming_error*1e6 AS streaming_error_ppm, CASE WHEN streaming_error>0.32::DOUBLE THEN 'full_retrain' WHEN streaming_error>0.18::DOUBLE THEN 'soft_update' ELSE 'no_update' END AS action FROM (SELECT event_id, event_type, avg(residual) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS streaming_error FROM monitor_rows)"
+oracle("monitor_replay", ROLLING, "streaming_error_ppm")
+oracle("monitor_stream", ROLLING, "streaming_error_ppm")
 MOVES = [("0.5", "x1", "0.4"), ("0.3", "(-x2)", "0.35"), ("0.2", "p[1]", "0.25")]
 oracle("proximal_step", "SELECT row_id, " + ", ".join(f"CASE WHEN m0+m1+m2>0 THEN m{i}/(m0+m1+m2) ELSE 1e0/3 END AS w{i}" for i in range(3)) + " FROM (SELECT row_id, " + ", ".join(
     f"greatest({w}::DOUBLE-0.2::DOUBLE*{g}-0.1::DOUBLE*({w}::DOUBLE-{a}::DOUBLE),0) AS m{i}" for i, (w, g, a) in enumerate(MOVES)) + " FROM predictions)", "w0 w1 w2")
