@@ -16,6 +16,7 @@ def local_session(cores: str | int = "*", memory: str = "16g", app: str = "cohor
         .config("spark.sql.shuffle.partitions", str(parallel))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
