@@ -151,7 +151,8 @@ def freeze_contract_digests(spark, sf):
 # features
 
 def _curated(spark, sf):
-    return features.curate(views.clinical(spark, sf))
+    # the raw columns stand for a stored table: written once, then each feature reads a plain column
+    return features.curate(durable(views.clinical(spark, sf)))
 
 
 def _scaled(spark, sf):
