@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.fixed import SEEDS
 from cohortry.functions.hashing import hash_uniform, poisson_weight
-from cohortry.operators.ordered import row_numbers
+from cohortry.operators.ordered import enrich, row_numbers
 from cohortry.session import durable
 
 
@@ -42,8 +42,9 @@ def repeated_splits(df: DataFrame, *, seeds=SEEDS, folds: int = 5, val_fraction:
     outer = pick_strata(df, strata, folds)
     inner = pick_strata(df, strata, 2 * folds)
     units = durable(df.groupBy(F.col(by).alias("_unit")).agg(
-        F.min_by(_stratum(outer), F.col(row_id)).alias("_outer"), F.min_by(_stratum(inner), F.col(row_id)).alias("_inner")))
-    dealt = units.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn(
+        F.min_by(_stratum(outer), F.col(row_id)).alias("_outer"), F.min_by(_stratum(inner), F.col(row_id)).alias("_inner"),
+        F.count(F.lit(1)).alias("_n")))
+    dealt = units.drop("_n").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn(
         "_u", hash_uniform("split", F.col("seed"), F.col("_unit")))
     dealt = row_numbers(dealt, ["seed", "_outer"], ["_u", "_unit"], "_place", rows_per_range=rows_per_range)
     start = F.floor(hash_uniform("start", F.col("seed"), F.col("_outer")) * folds)
@@ -58,7 +59,11 @@ def repeated_splits(df: DataFrame, *, seeds=SEEDS, folds: int = 5, val_fraction:
     role = F.when(F.col("_place") % parts == 1, F.lit("val")).otherwise(F.lit("train"))
     roles = kept.select("_unit", "seed", "fold", role.alias("role")).unionByName(
         rest.where(held_out).select("_unit", "seed", "fold", F.lit("test").alias("role")))
-    return df.select(row_id, F.col(by).alias("_unit")).join(roles, "_unit").select("seed", "fold", row_id, "role")
+    # one entry per group with its seeds x folds roles: rows are joined once, and a group with very many rows is salted
+    packed = durable(roles.groupBy("_unit").agg(F.collect_list(F.struct("seed", "fold", "role")).alias("_roles"))
+                     .join(units.select("_unit", "_n"), "_unit"))
+    joined = enrich(df.select(row_id, F.col(by).alias("_unit")), packed, "_unit", size_column="_n")
+    return joined.select(row_id, F.explode("_roles").alias("_role")).select("_role.seed", "_role.fold", row_id, "_role.role")
 
 
 def grouped_folds(df: DataFrame, *, seed, folds: int = 5, group: str = "patient_id", name: str = "fold") -> DataFrame:
