@@ -3,16 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortry.llm.decontaminate import leaks
+from cohortry.llm.mixing import mix
+from cohortry.llm.quality import quality_scores
 from cohortry.llm.simhash import simhash_groups
+from cohortry.llm.suffixes import without_repeats
 from cohortry.llm.text import read
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_repeated_bytes": op1_repeated_bytes,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_source_mix": op5_source_mix,
+    "op6_quality_scores": op6_quality_scores,
     "op8_simhash_groups": op8_simhash_groups,
 }
 

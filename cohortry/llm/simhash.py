@@ -99,6 +99,13 @@ def near_pairs(prints: DataFrame, column: str = "print", radius: int = 3, crowde
     )
 
 
+def _labels(marked: DataFrame, radius: int, crowded: int) -> DataFrame:
+    """Rows (print, component): any one code of its component for every fingerprint of `marked`."""
+    nodes = marked.select("print").distinct()
+    found = components(near_pairs(nodes, "print", radius, crowded), "a", "b")
+    return nodes.join(found, nodes["print"] == found["node"], "left").select("print", F.coalesce("component", "print").alias("component"))
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, seed: int = 42, crowded: int = 256
 ) -> DataFrame:
@@ -110,13 +117,29 @@ def simhash_groups(
     Other columns are not read. An empty table gives an empty result.
     """
     marked = durable(fingerprints(docs, id_col, text_col, width, seed))
-    nodes = marked.groupBy("print").agg(F.min("doc_id").alias("first"))
-    found = components(near_pairs(nodes, "print", radius, crowded), "a", "b")
-    placed = nodes.join(found, nodes["print"] == found["node"], "left").select(
-        "print", "first", F.coalesce("component", "print").alias("component")
-    )
+    placed = _labels(marked, radius, crowded).join(marked.groupBy("print").agg(F.min("doc_id").alias("first")), "print")
     named = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = placed.join(named, "component").select("print", "component_id")
     return marked.join(labels, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, seed: int = 42, crowded: int = 256
+) -> DataFrame:
+    """The row with the smallest id of every group of `simhash_groups`, all columns as they are (null ids come last, ties go by a hash
+    of the text, equal rows count once)."""
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+
+    def prints(raws: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(text, width, seed) for text in raws], dtype=np.uint64).view(np.int64))
+
+    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(raw).alias("tag"), raw.alias("raw"))
+    marked = durable(tagged.select("id", "tag", F.pandas_udf(prints, "long")("raw").alias("print")))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tag")).alias("least")
+    first = marked.groupBy("print").agg(least).join(_labels(marked, radius, crowded), "print")
+    chosen = first.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("i"), F.col("least.tag").alias("t")).distinct()
+    kept = tagged.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("row", "id", "tag")
+    once = kept.withColumn("n", F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.lit(0)))).where("n = 1")
+    return once.select("row.*")
