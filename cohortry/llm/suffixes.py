@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -155,7 +155,7 @@ def anchor_hashes(texts: DataFrame, settings: RepeatSettings) -> DataFrame:
     return texts.mapInPandas(run, "gram long, doc_id long")
 
 
-_SUFFIX = "gram long, doc_id long, tag long, at long, before int, raw binary"
+_SUFFIX = "gram long, doc_id long, tag long, at long, before long, raw binary"
 
 
 def suffix_rows(known: DataFrame, settings: RepeatSettings) -> DataFrame:
@@ -164,14 +164,16 @@ def suffix_rows(known: DataFrame, settings: RepeatSettings) -> DataFrame:
 
     `known`: doc_id, tag, raw, grams and packed (the text's anchor hashes that few or many other texts have as well, or null).
     Hashes that come twice in the text itself are added here. An anchor of `packed` is cut into its windows, each a row under a hash
-    of its own. Surroundings that were met before in the batch aren't sent: such rows carry null and are repeated bytes already.
+    of its own. Surroundings that were met before in the batch aren't sent: the spans they make up are repeated bytes already and
+    go along as rows with null for `raw`, spread by place.
     """
     length = settings.length
 
     def run(batches):
         for batch in batches:
-            seen: dict = {}
+            seen: set = set()
             out: list[tuple] = []
+            again: tuple = [], [], [], []
             columns = zip(batch["doc_id"].tolist(), batch["tag"].tolist(), batch["raw"], batch["grams"], batch["packed"])
             for doc, tag, raw, grams, packed in sorted(columns, key=lambda r: r[:2]):
                 h, at, first, last = anchors(np.frombuffer(raw, np.uint8), length)
@@ -191,11 +193,15 @@ def suffix_rows(known: DataFrame, settings: RepeatSettings) -> DataFrame:
                             code = xxh64_intdigest(around)
                             g, p = code - (1 << 64) if code >> 63 else code, x
                         if (g, p - x, around) in seen:
-                            out.append((g, doc, tag, x, y + length - x, None))
+                            for column, value in zip(again, (doc, tag, x, y + length)):
+                                column.append(value)
                         else:
-                            seen[(g, p - x, around)] = True
+                            seen.add((g, p - x, around))
                             out.append((g, doc, tag, p, p - x, around))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SUFFIX.split(", ")])
+            spans = _joined(*(np.array(column, dtype=np.int64) for column in again))
+            spread = mixed(spans["doc_id"].to_numpy().view(np.uint64) + mixed(spans["start"].to_numpy().view(np.uint64)))
+            known_already = zip(spread.view(np.int64).tolist(), *(spans[c].tolist() for c in ("doc_id", "tag", "start")), (spans["stop"] - spans["start"]).tolist())
+            yield pd.DataFrame(out + [(*row, None) for row in known_already], columns=[c.split()[0] for c in _SUFFIX.split(", ")])
 
     return known.mapInPandas(run, _SUFFIX)
 
@@ -336,8 +342,8 @@ def _cut_text(raw: pd.Series, starts: pd.Series, stops: pd.Series, copy: pd.Seri
 def without_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: RepeatSettings = RepeatSettings(), as_text: bool = False
 ) -> DataFrame:
-    """One row per row of `docs`: `row` (a struct of its own columns), n_bytes, n_removed, n_spans, kept (the bytes that stay; with
-    `as_text` as a string, without the remains of characters that were cut through).
+    """One row per row of `docs`: `row` (a struct of its columns but the text), doc_id, had_text (not null), n_bytes, n_removed,
+    n_spans, kept (the bytes that stay; with `as_text` as a string, without the remains of characters that were cut through).
 
     Each byte in a string of `length` bytes that also starts earlier (in a smaller id, or before in the same text) is removed;
     strings are judged on the input. A text that an earlier id holds as a whole needs no search: from `length` bytes on it goes.
@@ -345,8 +351,13 @@ def without_repeats(
     common are one document, each getting its result; different texts of one id are documents ordered by their hash. Other
     columns may have any name. An empty table gives an empty result.
     """
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"))
-    raw: Column = F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).cast("binary")
+    given = docs[text_col].cast("string")
+    others = [docs[c] for c in docs.columns if c != text_col] or [F.lit(None).alias("none")]
+    base = docs.select(
+        F.struct(*others).alias("row"), docs[id_col].cast("long").alias("doc_id"), given.isNotNull().alias("had_text"),
+        F.coalesce(given, F.lit("")).cast("binary").alias("raw"),
+    )
+    raw = F.col("raw")
     whole = F.unhex(F.sha2(raw, 256))
     long = F.length(raw) >= settings.length
     keys = durable(base.where(F.col("doc_id").isNotNull() & long).select("doc_id", whole.alias("digest")))
@@ -354,13 +365,14 @@ def without_repeats(
     copies = keys.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
     marked = base.join(durable(copies), "doc_id", "left")
     is_copy = F.coalesce(F.array_contains("copied", F.when(F.col("copied").isNotNull(), whole)), F.lit(False))
-    texts = marked.where(F.col("doc_id").isNotNull() & long & ~is_copy).select("doc_id", F.xxhash64(raw).alias("tag"), raw.alias("raw"))
+    texts = marked.where(F.col("doc_id").isNotNull() & long & ~is_copy).select("doc_id", F.xxhash64(raw).alias("tag"), "raw")
     spans = repeated_spans(texts, settings).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
-    joined = marked.join(spans, "doc_id", "left").select("row", raw.alias("raw"), is_copy.alias("copy"), "spans")
+    joined = marked.join(spans, "doc_id", "left").withColumn("copy", is_copy)
     mine = F.filter("spans", lambda x: x["tag"] == F.xxhash64("raw"))
     run = F.pandas_udf(_cut_text if as_text else _cut, f"n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     cut = run("raw", F.transform(mine, lambda x: x["start"]), F.transform(mine, lambda x: x["stop"]), "copy")
-    return joined.select("row", F.length("raw").cast("long").alias("n_bytes"), cut.alias("cut")).select("row", "n_bytes", "cut.*")
+    columns = ["row", "doc_id", "had_text"]
+    return joined.select(*columns, F.length("raw").cast("long").alias("n_bytes"), cut.alias("cut")).select(*columns, "n_bytes", "cut.*")
 
 
 def maximal_repeats(texts: list[tuple[int, bytes]], length: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
