@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import chat
+from cohortry.llm.brown import brown_scores
 from cohortry.llm.decontaminate import leaks
 from cohortry.llm.mixing import mix
 from cohortry.llm.quality import quality_scores
@@ -13,6 +14,7 @@ from cohortry.llm.simhash import simhash_groups
 from cohortry.llm.suffixes import without_repeats
 from cohortry.llm.text import read
 from cohortry.llm.topk import top_k
+from cohortry.llm.toxicity import toxicity_scores
 
 
 def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op2_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op3_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -54,21 +60,27 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_top_vectors": op2_top_vectors,
+    "op3_toxicity_scores": op3_toxicity_scores,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_source_mix": op5_source_mix,
     "op6_quality_scores": op6_quality_scores,
     "op7_chat_format": op7_chat_format,
     "op8_simhash_groups": op8_simhash_groups,
+    "op10_brown_scores": op10_brown_scores,
 }
 
 ORACLES: dict[str, str] = {
     "op2_top_vectors": """
         WITH whole AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
             FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0

@@ -209,7 +209,8 @@ def _searched(asked: DataFrame, shards: DataFrame, s: SearchSettings) -> DataFra
                 out.append((key[0], block, scores[:, -1].tobytes(), result))
         return pd.DataFrame(out, columns=["dims", "block", "floors", "found"])
 
-    waves = asked.select("dims", "shard", "wave").distinct()
-    left = shards.join(waves, ["dims", "shard"]).groupBy("dims", "shard", "wave")
+    waves = asked.select(F.col("dims").alias("d"), F.col("shard").alias("s"), F.col("wave").alias("w")).distinct()
+    sent = shards.join(waves, (F.col("dims") == F.col("d")) & (F.col("shard") == F.col("s"))).select("d", "s", "w", "packed")
+    left = sent.groupBy("d", "s", "w")
     right = asked.select("dims", "shard", "wave", "block", "packed", "floors").groupBy("dims", "shard", "wave")
     return left.cogroup(right).applyInPandas(run, "dims int, block long, floors binary, found binary")
