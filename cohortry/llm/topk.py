@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from cohortry.session import durable
 
 
+#: stands for no score; its negative is a long as well
+LEAST = -(2**63) + 1
+
+
 @dataclass(frozen=True)
 class SearchSettings:
     """`shard_rows`: vectors of a shard, about; `leaf`: of a tree leaf; `block`: queries that walk a tree together; `wave`: blocks of a
@@ -58,9 +62,8 @@ class BoxTree:
         queries that can still gain from it comes first; a query is left out of boxes under its k-th score so far, which
         begins at `floor`.
         """
-        least = np.iinfo(np.int64).min
         best_id = np.full((len(ids), k), -1, dtype=np.int64)
-        best = np.full((len(ids), k), least, dtype=np.int64)
+        best = np.full((len(ids), k), LEAST, dtype=np.int64)
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
         floor = floor.copy()
 
@@ -86,15 +89,15 @@ class BoxTree:
                 continue
             scores = (queries[who] @ self.rows[a:b].T).astype(np.int64)
             there = np.broadcast_to(self.ids[a:b], scores.shape)
-            scores = np.where((there == ids[who, None]) | (scores < floor[who, None]), least, scores)
-            gains = np.flatnonzero(scores.max(axis=1) > least)
+            scores = np.where((there == ids[who, None]) | (scores < floor[who, None]), LEAST, scores)
+            gains = np.flatnonzero(scores.max(axis=1) > LEAST)
             who, scores, there = who[gains], scores[gains], there[gains]
             all_scores, all_ids = np.hstack((best[who], scores)), np.hstack((best_id[who], there))
             top = _top(all_scores, all_ids, k)
             best[who] = np.take_along_axis(all_scores, top, axis=1)
             best_id[who] = np.take_along_axis(all_ids, top, axis=1)
             floor[who] = np.maximum(floor[who], best[who, -1])
-        best_id[best == least] = -1
+        best_id[best == LEAST] = -1
         return best_id, best
 
 
@@ -181,7 +184,7 @@ def top_k(
         for batch in batches:
             for dims, packed in zip(batch["dims"], batch["found"]):
                 query, number, ids, scores = pickle.loads(packed)
-                at, place = np.nonzero(scores != np.iinfo(np.int64).min)
+                at, place = np.nonzero(scores != LEAST)
                 yield pd.DataFrame({"dims": dims, "query_id": query[at], "number": number[at], "vec_id": ids[at, place], "score": scores[at, place]})
 
     flat = found.select("dims", "found").mapInPandas(rows, "dims int, query_id long, number long, vec_id long, score long")
@@ -199,10 +202,9 @@ def _searched(asked: DataFrame, shards: DataFrame, s: SearchSettings) -> DataFra
             ids, rows = pickle.loads(shard["packed"].iloc[0])
             blocks = [(b, *pickle.loads(p), f) for b, p, f in zip(blocks["block"], blocks["packed"], blocks["floors"])]
             kinds = {kind: BoxTree(ids, rows.astype(kind), s.leaf) for kind in {_exact(rows, w) for _, _, w, _ in blocks}}
-            least = np.iinfo(np.int64).min
             for block, query, wanted, floors in blocks:
                 kind = _exact(rows, wanted)
-                start = np.full(len(query), least, dtype=np.int64) if floors is None else np.frombuffer(floors, dtype=np.int64)
+                start = np.full(len(query), LEAST, dtype=np.int64) if floors is None else np.frombuffer(floors, dtype=np.int64)
                 found, scores = kinds[kind].search(query, wanted.astype(kind), start, s.k)
                 # query rows that share an id are told apart by their place in the block
                 result = pickle.dumps((query, block * (1 << 20) + np.arange(len(query)), found, scores), protocol=5)
