@@ -15,6 +15,7 @@ from cohortry.llm.suffixes import without_repeats
 from cohortry.llm.text import read
 from cohortry.llm.topk import top_k
 from cohortry.llm.toxicity import toxicity_scores
+from cohortry.llm.windows import passage_groups
 
 
 def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_passage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_groups(read(spark, sf_dir, "documents"))
+
+
 def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(read(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op6_quality_scores": op6_quality_scores,
     "op7_chat_format": op7_chat_format,
     "op8_simhash_groups": op8_simhash_groups,
+    "op9_passage_groups": op9_passage_groups,
     "op10_brown_scores": op10_brown_scores,
 }
 
