@@ -159,14 +159,18 @@ def without_leaks(
     settings: LeakSettings = LeakSettings(),
 ) -> DataFrame:
     """The rows of `docs` into which no benchmark item leaks, all columns as they are; otherwise like `leaks`."""
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     out = docs
     for index in _indexes(docs.sparkSession, benchmark, item_col, item_text_col, settings):
+        out = out.where(_is_clean(index)(raw))
+    return out
 
-        def clean(raws: pd.Series, index=index) -> pd.Series:
-            return pd.Series([next(index.value.matches(raw), None) is None for raw in raws], dtype=bool)
 
-        out = out.where(F.pandas_udf(clean, "boolean")(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    return out
+def _is_clean(index):
+    def clean(raws: pd.Series) -> pd.Series:
+        return pd.Series([next(index.value.matches(raw), None) is None for raw in raws], dtype=bool)
+
+    return F.pandas_udf(clean, "boolean")
 
 
 def _indexes(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text_col: str, settings: LeakSettings):
