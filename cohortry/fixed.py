@@ -94,3 +94,19 @@ PREDICTION_COLUMNS = [
     "p_c1", "p_c2", "p_c3", "p_c4", "p_c5", "p_c6", "p_c7", "p_c8",
 ]
 AUDIT_SECTIONS = ["locked_external_validation", "censoring_audit", "figure_inputs", "edge_profiling"]
+
+# Fixed values of the freeze manifest: its version, training cohort, scope text, flags and digested contracts.
+FREEZE_VERSION = 2
+TRAINING_COHORT = "Internal-673"
+IMPUTATION_SCOPE = "Internal-673 training partition only"
+FREEZE_FLAGS = ["frozen_before_external_access", "preprocessing_frozen", "imputation_frozen", "calibration_frozen", "thresholds_frozen"]
+FREEZE_CONTRACTS = ["preprocessing", "imputation", "calibration", "decision"]
+
+# Fixed values of the artifact manifest: its version, status and the artifacts of a fold run.
+ARTIFACT_VERSION = 1
+ARTIFACT_STATUS = "real_experiment_outputs"
+RUN_ARTIFACTS = ["metrics", "predictions", "model"]
+METRIC_FIELDS = ["seed", "fold", "macro_f1"]
+
+# Fixed value of the shadow gate.
+DEVICE_CLASS = "IMDRF_Class_II"

@@ -31,12 +31,6 @@ def clip(c: Column, low, high) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
-def dot(vector, coefficients) -> Column:
-    """Inner product with literal coefficients."""
-    v = col(vector)
-    return total(v[i] * F.lit(float(b)) for i, b in enumerate(coefficients))
-
-
 def argmax_first(vector) -> Column:
     """Zero-based position of the largest entry; the first wins ties."""
     v = col(vector)

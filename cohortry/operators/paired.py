@@ -56,10 +56,6 @@ def discordance_test(df: DataFrame, *, truth: str = "label", a: str | Column = "
         "p_value_two_sided_exact", _sign_tail("a_correct_b_wrong", "a_wrong_b_correct"))
 
 
-def predicted(proba: str) -> Column:
-    return argmax_first(proba)
-
-
 def paired_concordance_test(df: DataFrame, *, unit: str = "row_id", time: str = "t", event: str = "event", model_risk: str,
                             comparator_risk: str, replicates: int = 1000, seed: int = 42,
                             rows_per_range: int | None = None) -> DataFrame:

@@ -25,10 +25,16 @@ def gaussian(*parts) -> Column:
     return radius * F.cos(F.lit(2.0 * math.pi) * hash_uniform("a", *parts))
 
 
-def noisy_gradients(df: DataFrame, *, gradient: str, width: int, row_id: str, round_id: str | None = None, seed: int = 42,
+def noisy_gradients(df: DataFrame, *, gradient: str, width: int, row_id: str, secret: str, round_id: str | None = None,
                     norm: float = CLIP_NORM, multiplier: float = NOISE_MULTIPLIER) -> DataFrame:
-    """Adds the clipped gradient and the noisy one, per site."""
-    keys = [seed, *([F.col(round_id)] if round_id else []), F.col(row_id)]
+    """Adds the clipped gradient and the noisy one, per site.
+
+    ``secret`` keys the noise: a retried task adds the same draw, and nobody without the key can subtract it.  It has no
+    default and should be new for every run.
+    """
+    if not secret:
+        raise ValueError("a secret key is needed for the noise")
+    keys = [secret, *([F.col(round_id)] if round_id else []), F.col(row_id)]
     rows = df.withColumn("clipped", clipped(gradient, width, norm))
     noise = [gaussian(*keys, i) * F.lit(multiplier * norm) for i in range(width)]
     return rows.withColumn("noisy", F.array(*[F.col("clipped")[i] + n for i, n in enumerate(noise)]))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.fixed import SEEDS
-from cohortry.functions.hashing import hash_uniform, poisson_weight
+from cohortry.functions.hashing import POISSON_ONE, hash_uniform, poisson_weight
 from cohortry.operators.ordered import enrich, row_numbers
 from cohortry.session import durable
 
@@ -93,6 +96,52 @@ def replicate_rows(df: DataFrame, *, unit: str, replicates: int, seed: int = 42)
     return drawn.where((F.col("w") > 0) & (F.col("rep") < replicates))
 
 
+def multiplicities(units: list[str], replicates: int, seed: int) -> np.ndarray:
+    """Units x replicates: the same draws as :func:`replicate_rows`."""
+    blocks = range((replicates + 3) // 4)
+    digests = b"".join(md5(f"boot|{seed}|{b}|{unit}".encode()).digest() for unit in units for b in blocks)
+    draws = np.frombuffer(digests, dtype=">u4").reshape(len(units), -1)[:, :replicates] / 4294967296.0
+    return np.searchsorted(np.array(POISSON_ONE), draws, side="right").astype(float)
+
+
+def replicate_sums(df: DataFrame, sums: dict[str, Column], *, unit: str, keys=(), replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Rows (keys, rep, sums): each sum with every unit counted as often as the replicate drew it; nulls add nothing.
+
+    Rows are summed per unit first.  A task turns its units into one matrix product, multiplicities by sums, and emits
+    replicates x keys rows; no row is repeated per replicate.
+    """
+    keys, names = list(keys), list(sums)
+    per = df.groupBy(unit, *keys).agg(*[F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    lists = per.groupBy(F.col(unit).cast("string").alias("unit")).agg(F.collect_list(F.struct(key.alias("key"), F.array(*names).alias("v"))).alias("cells"))
+
+    def product(batches):
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                part = batch.iloc[low:low + 1000]
+                weights = multiplicities(part["unit"].tolist(), replicates, seed)
+                cells: dict[str, tuple[list[int], list]] = {}
+                for i, row in enumerate(part["cells"]):
+                    for cell in row:
+                        at, values = cells.setdefault(cell["key"], ([], []))
+                        at.append(i)
+                        values.append(cell["v"])
+                for name, (at, values) in cells.items():
+                    found = weights[at].T @ np.array(values, dtype=float)
+                    totals[name] = totals[name] + found if name in totals else found
+        for name, found in totals.items():
+            yield pd.DataFrame({"key": name, "rep": np.arange(replicates, dtype=np.int32), "v": list(found)})
+
+    partial = lists.mapInPandas(product, "key string, rep int, v array<double>")
+    total_of = [F.sum(F.col("v")[i]).alias(n) for i, n in enumerate(names)]
+    summed = partial.groupBy("key", "rep").agg(*total_of)
+    if not keys:
+        return summed.select("rep", *names)
+    kinds = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
+    return summed.withColumn("_k", F.from_json("key", kinds)).select(*[F.col(f"_k.`{k}`").alias(k) for k in keys], "rep", *names)
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.sum(weight)
 
@@ -102,6 +151,9 @@ def bootstrap_draws(df: DataFrame, value: str, *, unit: str, replicates: int = 1
     """One statistic per replicate; ``statistic`` builds an aggregate from the value and multiplicity columns."""
     if replicates < 1:
         raise ValueError("replicates must be positive")
+    if statistic is weighted_mean:
+        sums = replicate_sums(df, {"_s": F.col(value), "_n": F.lit(1)}, unit=unit, replicates=replicates, seed=seed)
+        return sums.where("_n > 0").select("rep", (F.col("_s") / F.col("_n")).alias("draw"))
     drawn = replicate_rows(df.select(unit, value), unit=unit, replicates=replicates, seed=seed)
     return drawn.groupBy("rep").agg(statistic(F.col(value), F.col("w")).alias("draw"))
 

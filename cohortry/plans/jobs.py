@@ -108,15 +108,17 @@ def repeated_validation(df: DataFrame, columns=None, *, seeds=SEEDS, folds: int
                         output: str | None = None, time: str = "t", event: str = "event", label: str = "label") -> tuple[DataFrame, DataFrame]:
     """Fit and score every (variant, seed, fold); predictions and long metrics, written when ``output`` is given.
 
+    The models are those of the variant's settings; ``overrides`` replaces single settings by name.
+
     Fits run one after another from the driver, each as a distributed job; splits are joined by row id.
     """
-    small = {"trees": 20, "rounds": 2, "hidden": (16,), "iterations": 15, "starts": 1, "learners": ("logistic", "forest")} if overrides is None else overrides
+    paths.check_variants(variants)
     splits = durable(repeated_splits(df, seeds=seeds, folds=folds, strata=(label, event)))
     joined = durable(df.join(splits, "row_id"))
     predictions, results = [], []
     for variant in variants:
         base = paths.VARIANTS[variant]
-        settings = replace(base, **{k: v for k, v in small.items() if k != "learners" or base.learners})
+        settings = replace(base, **{k: v for k, v in (overrides or {}).items() if k != "learners" or base.learners})
         for seed in seeds:
             for fold in range(folds):
                 run = joined.where((F.col("seed") == seed) & (F.col("fold") == fold))
@@ -192,10 +194,9 @@ def locked_run(path: paths.FittedPath, manifest: dict, external: DataFrame, *, t
     return out
 
 
-def locked_validation(rows: DataFrame) -> DataFrame:
+def locked_validation(rows: DataFrame, settings: paths.Settings = paths.FULL) -> DataFrame:
     """Internal folds fit and freeze a path; the last fold, without two features, is the external cohort."""
     dealt = durable(resample.grouped_folds(rows.withColumn("label", F.when(~immature("t", "event"), months_to_class("t"))), seed=42))
-    settings = replace(paths.FULL, learners=("logistic",), clusters=False)
     path = paths.fit_path(dealt.where("fold < 3").drop("fold"), dealt.where("fold = 3").drop("fold"), settings)
     manifest = artifacts.freeze_manifest(path.contracts(), path.digest())
     external = dealt.where("fold = 4").drop("fold", "afp", "child_pugh_b_or_c")
@@ -252,7 +253,7 @@ def backtest(df: DataFrame, variant: str, *, replicates: int = 1000, seed: int =
 
 # Cox baseline
 
-def score_cox(train: DataFrame, test: DataFrame, columns, keep, *, time: str = "t", event: str = "event", epochs: int = 25) -> DataFrame:
+def score_cox(train: DataFrame, test: DataFrame, columns, keep, *, time: str = "t", event: str = "event", epochs: int = 300) -> DataFrame:
     representation = paths.fit_representation(train, replace(paths.FULL, state=False), columns)
     spread = lambda df, k: representation.preprocessor.scaled(representation.curated(df, k), k)
     fitted = cox.fit_cox(spread(train, [time, event]), representation.preprocessor.names, time=time, event=event, epochs=epochs)
@@ -271,12 +272,21 @@ def cox_baseline(train: DataFrame, test: DataFrame, *, columns=None, time: str =
 
 # monitor on a stream
 
-def run_monitor_stream(spark: SparkSession, sf_dir: str, *, pattern: str = "events.parquet") -> DataFrame:
-    """Drain the event files through the streaming monitor into a table in the shared folder and read it back."""
-    schema = views.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(sf_dir)
+def run_monitor_stream(spark: SparkSession, sf_dir: str, *, files_per_batch: int = 64, gradient: Column | None = None) -> DataFrame:
+    """Drain the events table, a file or a folder of files, through the streaming monitor into a table and read it back."""
+    place = f"{sf_dir}/events.parquet"
+    found = spark.read.parquet(place)
+    if not found.inputFiles():
+        raise ValueError(f"no file of the events table under {place}")
+    reader = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", files_per_batch)
+    if {f.rstrip("/").rsplit("/", 1)[-1] for f in found.inputFiles()} == {"events.parquet"}:
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    else:
+        stream = reader.parquet(place)
     rows = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("value") / F.lit(250.0)).alias("residual"))
-    watched = monitor.monitor_stream(rows, key="event_type", anchor=[0.4, 0.3, 0.3])
+    if gradient is not None:
+        rows = rows.withColumn("gradient", gradient)
+    watched = monitor.monitor_stream(rows, key="event_type", anchor=[0.4, 0.3, 0.3], gradient=None if gradient is None else "gradient")
     place = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
     run = (watched.writeStream.format("parquet").option("path", f"{place}/table").option("checkpointLocation", f"{place}/progress")
            .outputMode("append").trigger(availableNow=True).start())

@@ -165,4 +165,4 @@ def sql(body: str, doubles: str = "", extra: dict[str, str] | None = None, recur
     head = "SELECT * REPLACE (" + ", ".join(f"round({n},6)+0e0 AS {n}" for n in names) + f") FROM ({body})" if names else body
     if not needed:
         return head
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(f"{n} AS ({views[n]})" for n in needed) + " " + head
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(f"{n} AS {'MATERIALIZED ' if n in VIEWS else ''}({views[n]})" for n in needed) + " " + head

@@ -53,8 +53,9 @@ def multiplicity(word: str) -> str:
 def draws(source: str, unit: str, replicates: int) -> str:
     """Rows of the source crossed with the replicates that drew them."""
     word = f"(('0x'||substr(md5(concat('boot|42|', b, '|', {unit})), 1+8*j, 8))::BIGINT/4294967296.0::DOUBLE)"
-    return f"""SELECT * FROM (SELECT s.*, 4*b+j AS rep, {multiplicity(word)} AS w FROM {source} s
-      CROSS JOIN (SELECT unnest(range({(replicates + 3) // 4})) AS b) CROSS JOIN (SELECT unnest(range(4)) AS j)) WHERE w>0 AND rep<{replicates}"""
+    counts = f"""SELECT unit, 4*b+j AS rep, {multiplicity('u')} AS w FROM (SELECT {unit} AS unit, b, j, {word} AS u
+      FROM (SELECT DISTINCT {unit} FROM {source}) CROSS JOIN (SELECT unnest(range({(replicates + 3) // 4})) AS b) CROSS JOIN (SELECT unnest(range(4)) AS j))"""
+    return f"SELECT s.*, rep, w FROM {source} s JOIN ({counts}) d ON s.{unit}=d.unit WHERE w>0 AND rep<{replicates}"
 
 
 # sources and contracts
@@ -230,7 +231,7 @@ oracle("permutation_attribution", f"""SELECT row_id, feature, avg(base-swapped[c
   {classes3("CASE WHEN b.feature='x1' THEN d.swap ELSE b.x1 END", "CASE WHEN b.feature='x2' THEN d.swap ELSE b.x2 END")} AS swapped FROM trials b JOIN trials d ON d.feature=b.feature AND d.rep=b.rep AND d.donor=b.place) GROUP BY row_id, feature""", "attribution",
        based=f"SELECT row_id, x1, x2, list_max(e)/list_sum(e) AS base, list_position(e, list_max(e))-1 AS c, row_number() OVER (ORDER BY row_id) AS place FROM (SELECT row_id, x1, x2, {classes3('x1', 'x2')} AS e FROM cohort)",
        trials="""SELECT b.*, f.feature, r.rep, CASE WHEN f.feature='x1' THEN x1 ELSE x2 END AS swap, row_number() OVER (PARTITION BY f.feature, r.rep ORDER BY ('0x'||substr(md5(concat('perm|42|',f.feature,'|',r.rep,'|',row_id)),1,8))::BIGINT, row_id) AS donor
-         FROM based b CROSS JOIN (SELECT unnest(['x1','x2']) AS feature) f CROSS JOIN (SELECT unnest(range(3)) AS rep) r""")
+         FROM based b CROSS JOIN (SELECT unnest(['x1','x2']) AS feature) f CROSS JOIN (SELECT unnest(range(5)) AS rep) r""")
 BETAS = "[" + ", ".join(f"{b!r}::DOUBLE" for b in BETA) + "]"
 MOMENT = "[" + ", ".join(f"avg(x[{i + 1}])" for i in range(64)) + "]"
 oracle("cluster_quality", """SELECT s.silhouette, d.davies_bouldin, c.calinski_harabasz FROM sil s CROSS JOIN db d CROSS JOIN ch c""", "silhouette davies_bouldin calinski_harabasz",
@@ -266,12 +267,12 @@ oracle("repeated_splits", """SELECT s.seed::BIGINT AS seed, s.fold::BIGINT AS fo
        units=f"""SELECT patient_id, arg_min(CASE WHEN pair_min>=5 THEN {STRATUM} WHEN label_min>=5 THEN coalesce(label::VARCHAR,'null') ELSE 'all' END, row_id) AS outer_s,
          arg_min(CASE WHEN pair_min>=10 THEN {STRATUM} WHEN label_min>=10 THEN coalesce(label::VARCHAR,'null') ELSE 'all' END, row_id) AS inner_s FROM labelled CROSS JOIN present GROUP BY patient_id""",
        dealt="""SELECT *, (row_number() OVER (PARTITION BY seed, outer_s ORDER BY uu, patient_id)-1+floor((('0x'||substr(md5(concat('start|',seed,'|',outer_s)),1,8))::BIGINT/4294967296.0::DOUBLE)*5)::INT)%5 AS test FROM (
-         SELECT *, ('0x'||substr(md5(concat('split|',seed,'|',patient_id)),1,8))::BIGINT AS uu FROM units CROSS JOIN (SELECT unnest([42,123]) AS seed))""",
+         SELECT *, ('0x'||substr(md5(concat('split|',seed,'|',patient_id)),1,8))::BIGINT AS uu FROM units CROSS JOIN (SELECT unnest([42,123,2024,31415,65537]) AS seed))""",
        grid="SELECT *, ('0x'||substr(md5(concat('val|',seed+fold,'|',patient_id)),1,8))::BIGINT AS v FROM dealt CROSS JOIN (SELECT unnest(range(5)) AS fold)")
 oracle("grouped_folds", f"SELECT row_id, floor({u('fold|42', 'patient_id')}*5)::BIGINT AS fold FROM cohort")
 PER = "SELECT patient_id, avg(x1) AS v FROM cohort GROUP BY patient_id"
 oracle("bootstrap_interval", "SELECT (SELECT avg(v) FROM per) AS estimate, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, count(*) AS replicates FROM (SELECT rep, sum(v*w)/sum(w) AS d FROM drawn GROUP BY rep)",
-       "estimate ci_low ci_high", per=PER, drawn=draws("per", "patient_id", 200))
+       "estimate ci_low ci_high", per=PER, drawn=draws("per", "patient_id", 1000))
 FOLD_METRICS = "UNPIVOT (" + " UNION ALL ".join(
     f"SELECT '{v}' AS variant, seed, fold, " + ", ".join(f"avg(({rank(p)}<={k})::INT::DOUBLE) AS top{k}_accuracy" for k in (1, 2, 3)) + " FROM seeded GROUP BY seed, fold" for p, v in (("p", "full"), ("q", "reduced"))
 ) + ") ON top1_accuracy, top2_accuracy, top3_accuracy INTO NAME metric VALUE value"
@@ -324,10 +325,10 @@ THREE = "naive iptw aipw risk_ratio"
 oracle("contrast_estimates", "SELECT * REPLACE (action::BIGINT AS action) FROM (" + three("compared", "action", "1") + ")", THREE)
 EV = "(CASE WHEN {0}<1 THEN 1/{0} ELSE {0} END)+sqrt((CASE WHEN {0}<1 THEN 1/{0} ELSE {0} END)*((CASE WHEN {0}<1 THEN 1/{0} ELSE {0} END)-1))"
 NEAR = "(CASE WHEN risk_ratio_low<=1 AND risk_ratio_high>=1 THEN 1e0 WHEN risk_ratio>=1 THEN risk_ratio_low ELSE risk_ratio_high END)"
-oracle("bootstrap_contrasts", f"SELECT *, {EV.format('risk_ratio')} AS e_value_point, {EV.format(NEAR)} AS e_value_ci_bound, 40::BIGINT AS replicates FROM (SELECT e.* REPLACE (action::BIGINT AS action), d.* EXCLUDE (action) FROM point e JOIN (SELECT action, "
+oracle("bootstrap_contrasts", f"SELECT *, {EV.format('risk_ratio')} AS e_value_point, {EV.format(NEAR)} AS e_value_ci_bound, 1000::BIGINT AS replicates FROM (SELECT e.* REPLACE (action::BIGINT AS action), d.* EXCLUDE (action) FROM point e JOIN (SELECT action, "
        + ", ".join(f"quantile_cont({n},0.025) AS {n}_low, quantile_cont({n},0.975) AS {n}_high, count({n}) AS {n}_valid" for n in THREE.split()) + " FROM reps GROUP BY action) d USING (action))",
        THREE + " e_value_point e_value_ci_bound " + " ".join(f"{n}_low {n}_high" for n in THREE.split()),
-       point=three("compared", "action", "1"), drawn=draws("compared", "row_id", 40), reps=three("drawn", "rep, action", "w"))
+       point=three("compared", "action", "1"), drawn=draws("compared", "row_id", 1000), reps=three("drawn", "rep, action", "w"))
 oracle("weighted_rmst_contrasts", "SELECT action::BIGINT AS action, max(rmst) FILTER (WHERE side='a')-max(rmst) FILTER (WHERE side='r') AS rmst_difference FROM (" + rmst("action, side", "csteps", 24) + ") GROUP BY action", "rmst_difference",
        sided="SELECT *, CASE WHEN arm=action THEN 'a' ELSE 'r' END AS side FROM compared WHERE support AND (arm=action OR arm=0)",
        csteps="SELECT action, side, t, sum(iptw*event) AS d, sum(sum(iptw)) OVER (PARTITION BY action, side ORDER BY t DESC) AS r FROM sided GROUP BY action, side, t")
@@ -367,14 +368,14 @@ oracle("shadow_gate", "SELECT mode, decision, count(*) AS n FROM (SELECT CASE WH
 
 
 def noise(i: int) -> str:
-    part = lambda s: f"(('0x'||substr(md5(concat('{s}|42|',label,'|',vec_id,'|{i}')),1,8))::BIGINT/4294967296.0::DOUBLE)"
+    part = lambda s: f"(('0x'||substr(md5(concat('{s}|test-key|',label,'|',vec_id,'|{i}')),1,8))::BIGINT/4294967296.0::DOUBLE)"
     return f"sqrt(-2*ln(1-{part('r')}))*cos(2*pi()*{part('a')})"
 
 
-oracle("private_gradients", "SELECT vec_id, " + ", ".join(f"g[{i + 1}]*k AS c{i}" for i in range(8)) + ", " + ", ".join(f"g[{i + 1}]*k+0.55::DOUBLE*{noise(i)} AS n{i}" for i in range(8))
-       + " FROM (SELECT vec_id, label, g, least(1, 0.5::DOUBLE/greatest(sqrt(list_dot_product(g,g)),1e-12)) AS k FROM (SELECT vec_id, label, [v*3 for v in x[1:8]] AS g FROM vectors))", listed("c", 8) + " " + listed("n", 8))
-oracle("private_round_sum", "SELECT label::BIGINT AS label, sites, unnest(range(8))::BIGINT AS coordinate, unnest(l) AS total FROM (SELECT label, count(*) AS sites, [" + ", ".join(f"sum(x[{i + 1}]*k+1.1::DOUBLE*{noise(i)})" for i in range(8))
-       + "] AS l FROM (SELECT *, least(1, 1/greatest(sqrt(list_dot_product(x[1:8],x[1:8])),1e-12)) AS k FROM vectors) GROUP BY label)", "total")
+oracle("private_gradients", "SELECT vec_id, " + ", ".join(f"g[{i + 1}]*k AS c{i}" for i in range(64)) + ", " + ", ".join(f"g[{i + 1}]*k+0.55::DOUBLE*{noise(i)} AS n{i}" for i in range(64))
+       + " FROM (SELECT vec_id, label, g, least(1, 0.5::DOUBLE/greatest(sqrt(list_dot_product(g,g)),1e-12)) AS k FROM (SELECT vec_id, label, [v*3 for v in x] AS g FROM vectors))", listed("c", 64) + " " + listed("n", 64))
+oracle("private_round_sum", "SELECT label::BIGINT AS label, sites, unnest(range(64))::BIGINT AS coordinate, unnest(l) AS total FROM (SELECT label, count(*) AS sites, [" + ", ".join(f"sum(x[{i + 1}]*k+1.1::DOUBLE*{noise(i)})" for i in range(64))
+       + "] AS l FROM (SELECT *, least(1, 1/greatest(sqrt(list_dot_product(x,x)),1e-12)) AS k FROM vectors) GROUP BY label)", "total")
 
 # longitudinal
 oracle("dynamics_predictions", "SELECT event_id, e_t+d1 AS tumor_diameter_predicted_cm, e_t AS tumor_diameter_error_cm, e_f+f1 AS fibrosis_predicted, e_f AS fibrosis_error FROM errors WHERE variant='full_dynamics'",
@@ -389,6 +390,6 @@ def subject_interval(replicates: int) -> str:
     return "SELECT (SELECT avg(v) FROM maes) AS estimate, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, count(*) AS replicates FROM (SELECT rep, sum(v*w)/sum(w) AS d FROM drawn GROUP BY rep)"
 
 
-oracle("dynamics_subject_interval", subject_interval(200), "estimate ci_low ci_high", maes=MAES, drawn=draws("maes", "patient_id", 200))
-oracle("backtest_job", f"SELECT * FROM (SELECT variant, {AGREE_SQL} FROM errors WHERE variant='full_dynamics' GROUP BY variant) CROSS JOIN (SELECT estimate AS subject_estimate, ci_low AS subject_ci_low, ci_high AS subject_ci_high, replicates AS subject_replicates FROM ({subject_interval(40)}))",
-       AGREE + " subject_estimate subject_ci_low subject_ci_high", maes=MAES, drawn=draws("maes", "patient_id", 40))
+oracle("dynamics_subject_interval", subject_interval(1000), "estimate ci_low ci_high", maes=MAES, drawn=draws("maes", "patient_id", 1000))
+oracle("backtest_job", f"SELECT * FROM (SELECT variant, {AGREE_SQL} FROM errors WHERE variant='full_dynamics' GROUP BY variant) CROSS JOIN (SELECT estimate AS subject_estimate, ci_low AS subject_ci_low, ci_high AS subject_ci_high, replicates AS subject_replicates FROM ({subject_interval(1000)}))",
+       AGREE + " subject_estimate subject_ci_low subject_ci_high", maes=MAES, drawn=draws("maes", "patient_id", 1000))

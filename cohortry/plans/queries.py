@@ -15,7 +15,7 @@ from cohortry.functions.vectors import argmax_first, bind, floats, normalised, t
 from cohortry.operators import (
     attribution, concordance, contrasts, cox, features, fusion, learners, lifetable, longitudinal, metrics, moments, ood, ordered,
     paired, person_period, phenotypes, privacy, resample, scenarios, weights)
-from cohortry.plans import jobs, views
+from cohortry.plans import jobs, paths, views
 from cohortry.session import durable
 from cohortry.sources import artifacts, cohort as cohort_source, sinks
 from cohortry.streaming import chain, monitor, shadow
@@ -419,7 +419,7 @@ def _linear_classes(get):
 @query
 def permutation_attribution(spark, sf):
     rows = views.cohort(spark, sf).select("row_id", "x1", "x2")
-    return attribution.permutation_attributions(rows, ["x1", "x2"], _linear_classes, repeats=3)
+    return attribution.permutation_attributions(rows, ["x1", "x2"], _linear_classes, repeats=5)
 
 
 @query
@@ -459,7 +459,7 @@ def explanation_report(spark, sf):
 
 @query
 def repeated_splits(spark, sf):
-    return resample.repeated_splits(views.labelled(spark, sf), seeds=[42, 123])
+    return resample.repeated_splits(views.labelled(spark, sf))
 
 
 @query
@@ -470,7 +470,7 @@ def grouped_folds(spark, sf):
 @query
 def bootstrap_interval(spark, sf):
     per = views.cohort(spark, sf).groupBy("patient_id").agg(F.avg("x1").alias("v"))
-    return resample.bootstrap_interval(per, "v", unit="patient_id", replicates=200)
+    return resample.bootstrap_interval(per, "v", unit="patient_id", replicates=1000)
 
 
 @query
@@ -669,7 +669,7 @@ def contrast_estimates(spark, sf):
 
 @query
 def bootstrap_contrasts(spark, sf):
-    return contrasts.bootstrap_contrasts(_compared(spark, sf), replicates=40)
+    return contrasts.bootstrap_contrasts(_compared(spark, sf), replicates=1000)
 
 
 @query
@@ -796,16 +796,16 @@ def shadow_gate(spark, sf):
 
 @query
 def private_gradients(spark, sf):
-    rows = views.vectors(spark, sf).withColumn("g", F.transform("x", lambda v: v * 3.0)).select("vec_id", "label", F.slice("g", 1, 8).alias("g"))
-    noisy = privacy.noisy_gradients(rows, gradient="g", width=8, row_id="vec_id", round_id="label", norm=0.5)
-    return noisy.select("vec_id", *[F.col("clipped")[i].alias(f"c{i}") for i in range(8)], *[F.col("noisy")[i].alias(f"n{i}") for i in range(8)])
+    rows = views.vectors(spark, sf).withColumn("g", F.transform("x", lambda v: v * 3.0)).select("vec_id", "label", "g")
+    noisy = privacy.noisy_gradients(rows, gradient="g", width=64, row_id="vec_id", round_id="label", norm=0.5, secret="test-key")
+    return noisy.select("vec_id", *[F.col("clipped")[i].alias(f"c{i}") for i in range(64)], *[F.col("noisy")[i].alias(f"n{i}") for i in range(64)])
 
 
 @query
 def private_round_sum(spark, sf):
-    rows = views.vectors(spark, sf).select("vec_id", "label", F.slice("x", 1, 8).alias("g"))
-    noisy = privacy.noisy_gradients(rows, gradient="g", width=8, row_id="vec_id", round_id="label")
-    return privacy.round_sum(noisy, width=8, round_id="label").select("label", "sites", F.posexplode("total").alias("coordinate", "total"))
+    rows = views.vectors(spark, sf).select("vec_id", "label", F.col("x").alias("g"))
+    noisy = privacy.noisy_gradients(rows, gradient="g", width=64, row_id="vec_id", round_id="label", secret="test-key")
+    return privacy.round_sum(noisy, width=64, round_id="label").select("label", "sites", F.posexplode("total").alias("coordinate", "total"))
 
 
 # longitudinal
@@ -826,7 +826,7 @@ def dynamics_agreement(spark, sf):
 
 @query
 def dynamics_subject_interval(spark, sf):
-    return longitudinal.subject_error_interval(longitudinal.predict_intervals(_intervals(spark, sf)), replicates=200)
+    return longitudinal.subject_error_interval(longitudinal.predict_intervals(_intervals(spark, sf)), replicates=1000)
 
 
 # jobs
@@ -834,7 +834,7 @@ def dynamics_subject_interval(spark, sf):
 @query
 def repeated_validation_job(spark, sf):
     rows = views.labelled(spark, sf).drop("cls")
-    return jobs.repeated_validation(rows, ["x1", "x2"], seeds=[42], folds=2, variants=("full", "A6"))[1]
+    return jobs.repeated_validation(rows, ["x1", "x2"], seeds=[42], folds=2, variants=("full", "A6"), overrides=paths.SMALL)[1]
 
 
 @query
@@ -847,7 +847,7 @@ def evaluate_split_job(spark, sf):
 @query
 def locked_validation_job(spark, sf):
     rows = views.clinical(spark, sf)
-    return jobs.locked_validation(rows)
+    return jobs.locked_validation(rows, paths.Settings(learners=("logistic",), clusters=False))
 
 
 @query
@@ -863,7 +863,7 @@ def statistical_job(spark, sf):
 
 @query
 def backtest_job(spark, sf):
-    return jobs.backtest(views.intervals(spark, sf), "full_dynamics", replicates=40)
+    return jobs.backtest(views.intervals(spark, sf), "full_dynamics", replicates=1000)
 
 
 @query

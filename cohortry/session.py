@@ -27,11 +27,13 @@ def local_session(cores: str | int = "*", memory: str = "16g", app: str = "cohor
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the session; a temporary one only where none is named."""
+    """Shared checkpoint folder of the session; a temporary one only where none is named and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     active = spark.sparkContext._jsc.sc().getCheckpointDir()
     if active.isDefined():
         return active.get()
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     folder = named or tempfile.mkdtemp(prefix="cohortry-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -44,13 +44,16 @@ STATE = "errors array<double>, weights array<double>"
 
 
 def monitor_stream(stream: DataFrame, *, key: str, anchor: list[float], ts: str = "ts", event_id: str = "event_id",
-                   residual: str = "residual", gradient: str | None = None, delay: str = "1 hour", window: int = MONITOR_WINDOW,
+                   residual: str = "residual", gradient: str | None = None, delay: str | None = None, window: int = MONITOR_WINDOW,
                    soft: float = ERROR_SOFT, hard: float = ERROR_HARD, rate: float = ONLINE_RATE,
                    proximal: float = PROXIMAL_RATE) -> DataFrame:
     """Stateful monitor on a stream.
 
     State per stream id: the last residuals and the current fusion weights.  Within a micro-batch rows are taken by
-    event time, then id.  Rows later than the watermark are dropped.  Weights move only on a soft update.
+    event time, then id; a row that comes in a later batch than its successors counts when it comes.  No row is dropped
+    unless ``delay`` asks for it: then rows later than that behind the newest are.  Weights move only on a soft update.
+    The order within a stream id is the operator's meaning, so one id's rows of one batch are one task's work; bound them
+    by the source's batch size.
     """
     start = np.asarray(anchor, dtype=float)
 
@@ -77,5 +80,6 @@ def monitor_stream(stream: DataFrame, *, key: str, anchor: list[float], ts: str
     slope = F.col(gradient) if gradient else F.array(*[F.lit(0.0) for _ in anchor])
     slim = stream.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("bigint").alias("event_id"),
                          F.col(ts).cast("timestamp").alias("ts"), F.col(residual).cast("double").alias("residual"), slope.alias("gradient"))
-    return slim.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    timed = slim.withWatermark("ts", delay) if delay else slim
+    return timed.groupBy("key").applyInPandasWithState(
+        step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout)

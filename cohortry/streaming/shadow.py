@@ -8,12 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.fixed import DEVICE_CLASS
+
 
 @dataclass(frozen=True)
 class ShadowGate:
     approval_id: str | None = None
     live_enabled: bool = False
-    device_class: str = "IMDRF_Class_II"
+    device_class: str = DEVICE_CLASS
 
     @property
     def live(self) -> bool:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.fixed import CURATED, EXPLICIT
+from cohortry.fixed import CURATED, EXPLICIT, FREEZE_CONTRACTS
 from cohortry.operators import contrasts, features, fusion, longitudinal
 from cohortry.plans import jobs, paths, views
 from cohortry.sources import artifacts, cohort, sinks
@@ -77,12 +77,12 @@ def test_assignment_columns_are_rejected():
 
 
 def test_freeze_tampering():
-    contracts = {c: {"curated_dimension": 67, "strategy": "median", "fit_scope": "s"} for c in artifacts.CONTRACTS}
+    contracts = {c: {"curated_dimension": 67, "strategy": "median", "fit_scope": "s"} for c in FREEZE_CONTRACTS}
     manifest = artifacts.freeze_manifest(contracts, "d" * 64)
     assert artifacts.verify_freeze(manifest, contracts, "d" * 64)["model_sha256"] == "d" * 64
-    with pytest.raises(ValueError, match="does not match"):
+    with pytest.raises(ValueError, match="decision_contract_sha256"):
         artifacts.verify_freeze(manifest, {**contracts, "decision": {"x": 1}}, "d" * 64)
-    with pytest.raises(ValueError, match="must be true"):
+    with pytest.raises(ValueError, match="imputation_frozen"):
         artifacts.verify_freeze({**manifest, "imputation_frozen": False}, contracts, "d" * 64)
     with pytest.raises(ValueError):
         artifacts.contract_digest({"x": float("nan")})
@@ -111,7 +111,7 @@ def test_audit_manifest(spark, tmp_path):
     found = {(r["scope"], r["fault"][:15]) for r in artifacts.audit_manifest(spark, manifest, str(tmp_path)).collect()}
     assert ("run/model.bin", "digest_mismatch") in found
     assert any(s == "run/predictions.csv" and f.startswith("lacks") for s, f in found)
-    assert sum(f == "run missing" for _, f in found) == 24 and ("figure_inputs", "must list at le") in found
+    assert sum(f == "run missing" for _, f in found) == 24 and ("figure_inputs", "found False, wa") in found
 
 
 def test_interval_contract(spark, sf_dir):

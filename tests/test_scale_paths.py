@@ -103,10 +103,10 @@ def test_quantiles_by_bracket(spark):
     rng = np.random.default_rng(3)
     x = np.where(rng.random(60_000) < 0.4, 2.5, rng.normal(size=60_000) * 3)
     df = durable(spark.createDataFrame([(float(v), i % 2) for i, v in enumerate(x)], "v double, k int"))
-    got = quantiles.exact_quantiles(df, ["v"], [0.025, 0.5, 0.99], keys=["k"], gather_rows=10).collect()
+    got = quantiles.exact_quantiles(df, ["v"], [0.025, 0.5, 0.99], keys=["k"], gather_cells=10).collect()
     for row in got:
         assert row["value"] == pytest.approx(np.quantile(x[row["k"]::2], row["q"]))
-    small = quantiles.exact_quantiles(df.limit(101), ["v"], [0.1], gather_rows=10).first()
+    small = quantiles.exact_quantiles(df.limit(101), ["v"], [0.1], gather_cells=10).first()
     assert small["value"] == pytest.approx(np.quantile([r["v"] for r in df.limit(101).collect()], 0.1))
 
 
