@@ -175,7 +175,11 @@ def suffix_rows(known: DataFrame, settings: RepeatSettings) -> DataFrame:
             out: list[tuple] = []
             again: tuple = [], [], [], []
             columns = zip(batch["doc_id"].tolist(), batch["tag"].tolist(), batch["raw"], batch["grams"], batch["packed"])
+            before = None
             for doc, tag, raw, grams, packed in sorted(columns, key=lambda r: r[:2]):
+                if (doc, tag) == before:  # a repeated row
+                    continue
+                before = (doc, tag)
                 h, at, first, last = anchors(np.frombuffer(raw, np.uint8), length)
                 if not len(h):
                     continue
@@ -210,7 +214,9 @@ def _covered(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """Spans of the suffixes in `rows` (whole anchor groups) that repeat an earlier occurrence: doc_id, tag, start, stop."""
     known = rows["raw"].isna().to_numpy()
     taken = [tuple(rows[c].to_numpy()[known] for c in ("doc_id", "tag", "at")) + ((rows["at"] + rows["before"]).to_numpy()[known],)]
-    rows = rows[~known].sort_values(["gram", "doc_id", "tag", "at"], kind="stable").reset_index(drop=True)
+    # rows that repeat in the table are one occurrence
+    rows = rows[~known].drop_duplicates(["gram", "doc_id", "tag", "at"])
+    rows = rows.sort_values(["gram", "doc_id", "tag", "at"], kind="stable").reset_index(drop=True)
     gram, doc, tag, at, before = (rows[c].to_numpy() for c in ("gram", "doc_id", "tag", "at", "before"))
     raw = rows["raw"].tolist()
     size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
@@ -306,12 +312,14 @@ def repeated_spans(texts: DataFrame, settings: RepeatSettings = RepeatSettings()
     Spans of different anchors may overlap. Anchors that more than `crowded` texts share go window by window instead.
     """
     s = settings
-    counted = anchor_hashes(texts, s).withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1")
+    known = F.col("doc_id").isNotNull()
+    whole = [F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tag", F.when(known, F.col("raw")).otherwise(F.lit(b"")).alias("raw")]
+    counted = anchor_hashes(texts.select(*whole), s).withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1")
     lists = counted.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("n") <= s.crowded, F.col("gram"))).alias("grams"),
         F.collect_list(F.when(F.col("n") > s.crowded, F.col("gram"))).alias("packed"),
     )
-    rows = suffix_rows(texts.join(lists, "doc_id", "left").select("doc_id", "tag", "raw", "grams", "packed"), s)
+    rows = suffix_rows(texts.join(lists, "doc_id", "left").select(*whole, "grams", "packed"), s)
     return rows.repartition(F.col("gram")).sortWithinPartitions("gram").mapInPandas(
         lambda frames: _whole_groups(frames, s.length), "doc_id long, tag long, start long, stop long"
     )
@@ -365,7 +373,8 @@ def without_repeats(
     copies = keys.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
     marked = base.join(durable(copies), "doc_id", "left")
     is_copy = F.coalesce(F.array_contains("copied", F.when(F.col("copied").isNotNull(), whole)), F.lit(False))
-    texts = marked.where(F.col("doc_id").isNotNull() & long & ~is_copy).select("doc_id", F.xxhash64(raw).alias("tag"), "raw")
+    # only copies are filtered: a condition on the text alone would move below the shuffle, which then couldn't be shared
+    texts = marked.where(~is_copy).select("doc_id", F.xxhash64(raw).alias("tag"), "raw")
     spans = repeated_spans(texts, settings).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
     joined = marked.join(spans, "doc_id", "left").withColumn("copy", is_copy)
     mine = F.filter("spans", lambda x: x["tag"] == F.xxhash64("raw"))
@@ -379,11 +388,12 @@ def maximal_repeats(texts: list[tuple[int, bytes]], length: int) -> list[tuple[b
     """Maximal repeats of at least `length` bytes that hold an anchor, with all occurrences, of a small list: for inspection and tests."""
     groups: dict = {}
     for doc, raw in texts:
-        for g, p, a, b in zip(*anchors(np.frombuffer(raw, np.uint8), length)):
-            groups.setdefault(int(g), []).append((doc, int(p), raw[int(a) : int(p)][::-1], raw[int(p) : int(b) + length]))
+        for g, p, _, _ in zip(*anchors(np.frombuffer(raw, np.uint8), length)):
+            groups.setdefault(int(g), []).append((doc, int(p), raw[: int(p)][::-1], raw[int(p) :]))
     by_id = dict(texts)
     out = {}
     for rows in groups.values():
+        rows = sorted(set(rows))  # an anchor owns several runs of starts where its gram comes again nearby
         for back, depth, members in repeat_groups([r[3] for r in rows], [r[2] for r in rows], length):
             doc, p = rows[members[0]][:2]
             out[by_id[doc][p - back : p + depth]] = sorted((rows[m][0], rows[m][1] - back) for m in members)
