@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from cohortry.llm.components import components
-from cohortry.llm.text import raw_texts, words
+from cohortry.llm.text import MIX, mixed, raw_texts, rolling, word_codes, words
 from cohortry.session import durable
 
 BITS = 64
@@ -125,21 +127,118 @@ def simhash_groups(
     )
 
 
-def one_of_each_group(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, seed: int = 42, crowded: int = 256
-) -> DataFrame:
-    """The row with the smallest id of every group of `simhash_groups`, all columns as they are (null ids come last, ties go by a hash
-    of the text, equal rows count once)."""
+@dataclass(frozen=True)
+class CopySettings:
+    """Texts count as near copies from `similarity` on, the Jaccard index of their sets of `shingle`-word runs. Candidates are texts with
+    one of `banks` independent fingerprints (of `width`-word runs) within `radius` bits. `paired`: texts in a signature up to which all
+    its pairs are compared."""
+
+    shingle: int = 5
+    similarity: float = 0.8
+    width: int = 2
+    radius: int = 5
+    banks: int = 4
+    paired: int = 32
+
+
+def _bank_prints(raw: bytes, s: CopySettings) -> list[int]:
+    """Fingerprints of one text, one per bank: majority bits of its runs' hashes, mixed anew for every bank."""
+    runs = rolling(word_codes(words(raw)), s.width)
+    if not len(runs):
+        runs = rolling(word_codes(words(raw)), 1)
+    out = []
+    for bank in range(s.banks):
+        ones = np.zeros(BITS, dtype=np.int64)
+        for at in range(0, len(runs), 65536):
+            part = mixed(runs[at : at + 65536] ^ (MIX * np.uint64(2 * bank + 1)))
+            ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(runs), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _bank_pairs(nodes: DataFrame, s: CopySettings) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of texts (tag, prints): a shared signature, and fingerprints of its bank within the radius.
+
+    Signatures are the one-wildcard variants of `near_pairs`. Up to `paired` texts in one are compared pairwise; in larger ones
+    each text meets the first and the three before it, so their number of pairs grows like the number of texts. Near
+    copies share dozens of signatures, each with other neighbours.
+    """
+    each = nodes.select("tag", F.posexplode("prints").alias("bank", "code"))
+    code, number = F.col("code"), F.col("number")
+    kept = F.lit(-1).cast("long")
+    for segment in _segments(s.radius):
+        kept = F.when((number >= segment.start) & (number < segment.stop), code.bitwiseAND(_signed(_mask(segment)))).otherwise(kept)
+    signature = F.xxhash64(kept.bitwiseAND(F.expr("~shiftleft(1L, number)")), number, "bank")
+    variants = each.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))).select("tag", "code", signature.alias("key"))
+    in_key = Window.partitionBy("key")
+    shared = variants.withColumn("n", F.count("*").over(in_key)).where("n > 1")
+    ordered = in_key.orderBy("code", "tag")
+    one = F.struct("tag", "code")
+    small = F.col("n") <= s.paired
+    reach = F.when(small, F.collect_list(one).over(ordered.rowsBetween(-s.paired, -1))).otherwise(
+        F.concat(F.array(F.first(one).over(in_key.orderBy("code", "tag").rowsBetween(Window.unboundedPreceding, -1))), F.collect_list(one).over(ordered.rowsBetween(-3, -1)))
+    )
+    met = shared.withColumn("others", reach).select("tag", "code", F.explode("others").alias("o")).where("o is not null")
+    near = met.where((F.col("o.tag") != F.col("tag")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("o.code"))) <= s.radius))
+    return near.select(F.least("tag", "o.tag").alias("a"), F.greatest("tag", "o.tag").alias("b")).distinct()
+
+
+def _few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Marked for broadcast if it was counted to hold few rows; else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def near_copy_pairs(tagged: DataFrame, nodes: DataFrame, settings: CopySettings) -> DataFrame:
+    """Checked pairs (a, b) of texts: candidates of `_bank_pairs` whose sets of word runs are similar enough.
+
+    `tagged`: id, tag, raw; `nodes`: one row per text: tag, id (of one row that has it), prints. Only texts in a candidate pair
+    are read again.
+    """
+    s = settings
+    pairs = durable(_bank_pairs(nodes, s))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    wanted = _few(durable(nodes.join(ends, nodes["tag"] == ends["t"]).select("t", F.col("id").alias("i"))))
+
+    def runs(raws: pd.Series) -> pd.Series:
+        out = []
+        for raw in raws:
+            codes = word_codes(words(raw))
+            out.append(np.unique(rolling(codes, max(1, min(s.shingle, len(codes)))).astype("<u4")).tobytes())
+        return pd.Series(out)
+
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right):
+            a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0)
+        return pd.Series(out, dtype=float)
+
+    read = tagged.join(wanted, (F.col("tag") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")))
+    sets = durable(read.select("t", F.pandas_udf(runs, "binary")("raw").alias("set")).dropDuplicates(["t"]))
+    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("y")), "b")
+    return both.where(F.pandas_udf(similar, "double")("x", "y") >= s.similarity).select("a", "b")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: CopySettings = CopySettings()) -> DataFrame:
+    """The row with the smallest id of every group of copies and near copies, all columns as they are.
+
+    A group holds what is reachable over equal texts and checked near copies. Null ids come last, ties go by a hash of the text, equal
+    rows count once. Null texts are empty; texts without a word are copies of each other only if equal or equal but for blanks.
+    """
+    s = settings
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
     def prints(raws: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(text, width, seed) for text in raws], dtype=np.uint64).view(np.int64))
+        return pd.Series([_bank_prints(text, s) for text in raws])
 
     tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(raw).alias("tag"), raw.alias("raw"))
-    marked = durable(tagged.select("id", "tag", F.pandas_udf(prints, "long")("raw").alias("print")))
+    marked = durable(tagged.select("id", "tag", F.pandas_udf(prints, "array<long>")("raw").alias("prints")))
     least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tag")).alias("least")
-    first = marked.groupBy("print").agg(least).join(_labels(marked, radius, crowded), "print")
-    chosen = first.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("i"), F.col("least.tag").alias("t")).distinct()
+    nodes = durable(marked.groupBy("tag").agg(least, F.first("prints").alias("prints")).select("tag", F.col("least.id").alias("id"), "prints"))
+    found = components(near_copy_pairs(tagged.select("id", "tag", "raw"), nodes.where(F.size("prints") > 0), s), "a", "b")
+    placed = nodes.join(found, nodes["tag"] == found["node"], "left").select("tag", "id", F.coalesce("component", "tag").alias("component"))
+    chosen = placed.groupBy("component").agg(least).select(F.col("least.id").alias("i"), F.col("least.tag").alias("t")).distinct()
     kept = tagged.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("row", "id", "tag")
     once = kept.withColumn("n", F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.lit(0)))).where("n = 1")
     return once.select("row.*")

@@ -3,10 +3,32 @@
 import corpus_pipeline
 from cohortry.llm.decontaminate import leaks
 from cohortry.llm.quality import quality_scores
-from cohortry.llm.simhash import simhash_groups
 from cohortry.llm.suffixes import without_repeats
 
 
+def first_of_near_copies(rows):
+    """Smallest id of every group reachable over pairs with a Jaccard index of 0.8 or more on five-word runs, by all pairs."""
+    sets = {}
+    for i, text in rows:
+        words = (text or "").lower().split()
+        width = max(1, min(5, len(words)))
+        sets[i] = frozenset(hash(tuple(words[k : k + width])) for k in range(len(words) - width + 1))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {find(i) for i in ids}
+
+
 def test_stages(spark, tmp_path):
     sf_dir = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -20,8 +42,10 @@ def test_stages(spark, tmp_path):
             assert seen[-1].dtypes == docs.dtypes, name
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     assert ids(seen[1]) == {r.doc_id for r in quality_scores(docs, labels).collect() if r.predicted == 1}
-    groups = simhash_groups(seen[1]).collect()
-    assert sorted(r.doc_id for r in seen[2].collect()) == sorted({r.component_id for r in groups})
+    want = first_of_near_copies([(r.doc_id, r.text) for r in seen[1].collect()])
+    kept = [r.doc_id for r in seen[2].collect()]
+    # fingerprints find nearly all near copies, and never join others
+    assert len(kept) == len(set(kept)) and want <= set(kept) and len(set(kept) - want) <= 2
     cut = {r.doc_id: r.kept for r in without_repeats(seen[2], as_text=True).collect()}
     after = {r.doc_id: (r.text, r.n_chars) for r in seen[3].collect()}
     assert after == {d: (t, len(t)) for d, t in cut.items() if t or d in after}

@@ -5,7 +5,7 @@ import random
 import pytest
 from xxhash import xxh64_intdigest
 
-from cohortry.llm.simhash import near_pairs, simhash_groups
+from cohortry.llm.simhash import CopySettings, near_pairs, one_of_each_group, simhash_groups
 
 
 def brute_print(text):
@@ -72,3 +72,48 @@ def test_pairs_match_all_pairs_within_radius(spark, radius, crowded):
 
 def test_empty_table(spark):
     assert simhash_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def runs_of(text):
+    words = (text or "").lower().split()
+    width = max(1, min(5, len(words)))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+@pytest.mark.parametrize("paired", [2, 32])
+def test_one_of_each_group_of_near_copies(spark, paired):
+    pick = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for family in range(12):
+        base = pick.choices(vocabulary, k=pick.randint(150, 400))
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(8 if family else 40):
+            words = list(base)
+            for _ in range(pick.randint(0, 2)):
+                words[pick.randrange(len(words))] = pick.choice(vocabulary)
+            rows.append((len(rows), " ".join(words)))
+        half = base[: len(base) // 2] + pick.choices(vocabulary, k=len(base) // 2)
+        rows.append((len(rows), " ".join(half)))  # shares half: stays
+    rows += [(900, ""), (901, None), (902, "short one"), (903, "short one"), (904, "short two"), (None, rows[0][1]), (None, "null id alone"), (5, rows[5][1])]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [runs_of(t) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            same = len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] or sets[b] else 1.0
+            if same >= 0.8:
+                root[find(a)] = find(b)
+    want = {}
+    for k, (i, _) in enumerate(rows):
+        want.setdefault(find(k), []).append(i)
+    table = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, tag int")
+    kept = one_of_each_group(table, settings=CopySettings(paired=paired))
+    assert kept.columns == table.columns
+    got = sorted((r.doc_id for r in kept.collect()), key=str)
+    assert got == sorted((min((x for x in ids if x is not None), default=None) for ids in want.values()), key=str)
