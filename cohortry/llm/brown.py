@@ -46,7 +46,7 @@ class Items(dict):
         if item is None:
             item = self.endings.get(word[-2:], OTHER)
         code = (self.near.get(word, -1) + 1 << 16) | item
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = code
         return code
@@ -144,12 +144,18 @@ class Brown:
 def word_counts(texts: DataFrame) -> DataFrame:
     """Rows (word, c) over all rows of (raw): counted within batches, then summed by word."""
 
+    def frame(seen):
+        return pd.DataFrame({"word": list(seen.keys()), "c": np.fromiter(seen.values(), dtype=np.int64, count=len(seen))})
+
     def run(batches):
+        seen: Counter = Counter()
         for batch in batches:
-            seen: Counter = Counter()
             for raw in batch["raw"]:
                 seen.update(words(raw))
-            yield pd.DataFrame({"word": list(seen.keys()), "c": np.fromiter(seen.values(), dtype=np.int64, count=len(seen))})
+                if len(seen) > 200_000:  # a bounded number of words at a time
+                    yield frame(seen)
+                    seen = Counter()
+        yield frame(seen)
 
     return texts.select("raw").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -254,15 +260,20 @@ def brown_scores(
 
     def run(batches):
         m = shared.value
+        out: list[tuple] = []
         for batch in batches:
-            out = []
             for key, doc, raw in zip(batch["key"].tolist(), batch["doc_id"].astype("Int64"), batch["raw"]):
                 n, known, base, score, far = m.score(words(raw))
                 # a row of its own for the text: no word has a blank
                 out.append((b" %d" % key, key, 0, doc, n, known, base, score))
                 out.extend((w, key, tf, None, 0, 0, 0.0, 0.0) for w, tf in far.items())
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-            yield frame.astype({"doc_id": "Int64"})
+                if len(out) > 50_000:
+                    yield frame(out)
+                    out = []
+        yield frame(out)
+
+    def frame(out):
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 
     keyed = texts.select("doc_id", "raw", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "raw").alias("key"))
     rows = keyed.mapInPandas(run, schema)

@@ -139,19 +139,20 @@ def leaks(
     ties. The benchmark is the query set: it passes in blocks of `items_at_once` items, so no broadcast grows with it. Null and
     empty texts and items match nothing; repeated rows each get their rows; ids may be null. Other columns are not read.
     """
-    texts = raw_texts(docs, id_col, text_col)
-    schema = "doc_id long, item_id long, similarity double, first_word long, n_windows long, n_words long"
+    # ids travel as text: pandas has no whole numbers with nulls
+    texts = raw_texts(docs, id_col, text_col).select(F.col("doc_id").cast("string").alias("doc_id"), "raw")
+    schema = "doc_id string, item_id string, similarity double, first_word long, n_windows long, n_words long"
     out = None
     for index in _indexes(docs.sparkSession, benchmark, item_col, item_text_col, settings):
 
         def run(batches, index=index):
             for batch in batches:
-                found = [(d, *m) for d, raw in zip(batch["doc_id"].astype("Int64"), batch["raw"]) for m in index.value.matches(raw)]
-                yield pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                found = [(d, None if m[0] is None else str(m[0]), *m[1:]) for d, raw in zip(batch["doc_id"], batch["raw"]) for m in index.value.matches(raw)]
+                yield pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")])
 
         found = texts.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
 
 
 def without_leaks(

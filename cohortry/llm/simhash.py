@@ -38,12 +38,10 @@ def fingerprint(raw: bytes, width: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """Rows (doc_id, print): the 64-bit fingerprint of every text as a signed long."""
 
-    def run(batches):
-        for batch in batches:
-            prints = np.array([fingerprint(raw, width, seed) for raw in batch["raw"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "print": prints.view(np.int64)})
+    def run(raws: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(raw, width, seed) for raw in raws], dtype=np.uint64).view(np.int64))
 
-    return raw_texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, print long")
+    return raw_texts(docs, id_col, text_col).select("doc_id", F.pandas_udf(run, "long")("raw").alias("print"))
 
 
 def _signed(mask: int) -> Column:
