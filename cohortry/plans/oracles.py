@@ -273,6 +273,8 @@ oracle("grouped_folds", f"SELECT row_id, floor({u('fold|42', 'patient_id')}*5)::
 PER = "SELECT patient_id, avg(x1) AS v FROM cohort GROUP BY patient_id"
 oracle("bootstrap_interval", "SELECT (SELECT avg(v) FROM per) AS estimate, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, count(*) AS replicates FROM (SELECT rep, sum(v*w)/sum(w) AS d FROM drawn GROUP BY rep)",
        "estimate ci_low ci_high", per=PER, drawn=draws("per", "patient_id", 1000))
+oracle("bootstrap_median", "SELECT (SELECT quantile_cont(v, 0.5) FROM per) AS estimate, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, count(*) AS replicates FROM (SELECT rep, quantile_cont(v, 0.5) AS d FROM (SELECT rep, v, unnest(range(w)) FROM drawn) GROUP BY rep)",
+       "estimate ci_low ci_high", per=PER, drawn=draws("per", "patient_id", 1000))
 FOLD_METRICS = "UNPIVOT (" + " UNION ALL ".join(
     f"SELECT '{v}' AS variant, seed, fold, " + ", ".join(f"avg(({rank(p)}<={k})::INT::DOUBLE) AS top{k}_accuracy" for k in (1, 2, 3)) + " FROM seeded GROUP BY seed, fold" for p, v in (("p", "full"), ("q", "reduced"))
 ) + ") ON top1_accuracy, top2_accuracy, top3_accuracy INTO NAME metric VALUE value"

@@ -477,7 +477,7 @@ def bootstrap_interval(spark, sf):
 def bootstrap_median(spark, sf):
     """A statistic other than the mean: the weighted median, through the same aggregate interface."""
     per = views.cohort(spark, sf).groupBy("patient_id").agg(F.avg("x1").alias("v"))
-    return resample.bootstrap_interval(per, "v", unit="patient_id", replicates=40, statistic=lambda v, w: F.percentile(v, F.lit(0.5), w))
+    return resample.bootstrap_interval(per, "v", unit="patient_id", replicates=1000, statistic=lambda v, w: F.percentile(v, F.lit(0.5), w))
 
 
 def _fold_metrics(spark, sf):
@@ -530,7 +530,7 @@ def _accuracy(scored: DataFrame, proba: str = "r") -> DataFrame:
 @query
 def balanced_logistic(spark, sf):
     rows = _train_x(spark, sf)
-    fitted = learners.fit_logistic(rows.where("fold < 3"), "x", balanced=True)
+    fitted = learners.fit_logistic(rows.where("fold < 4"), "x", balanced=True)
     return _accuracy(rows.where("fold = 4").withColumn("r", fitted.proba("x")))
 
 
@@ -544,13 +544,13 @@ def calibrated_forest(spark, sf):
 @query
 def one_vs_rest_boosting(spark, sf):
     rows = _train_x(spark, sf)
-    return _accuracy(learners.fit_boosting(rows.where("fold < 3"), "x", rounds=3, depth=3).score(rows.where("fold = 4"), "r"))
+    return _accuracy(learners.fit_boosting(rows.where("fold < 4"), "x", rounds=3, depth=3).score(rows.where("fold = 4"), "r"))
 
 
 @query
 def perceptron(spark, sf):
     rows = _train_x(spark, sf)
-    return _accuracy(learners.fit_perceptron(rows.where("fold < 3"), "x", inputs=3, hidden=(16, 8), iterations=20).score(rows.where("fold = 4"), "r"))
+    return _accuracy(learners.fit_perceptron(rows.where("fold < 4"), "x", inputs=3, hidden=(16, 8), iterations=20).score(rows.where("fold = 4"), "r"))
 
 
 @query
@@ -680,14 +680,14 @@ def weighted_rmst_contrasts(spark, sf):
 @query
 def cross_fitted_nuisance(spark, sf):
     frame = contrasts.analysis_frame(views.cohort(spark, sf), ["x1", "x2"], horizon=24.0).where("observed")
-    scored, arms = contrasts.cross_fit(frame, folds=2)
+    scored, arms = contrasts.cross_fit(frame, folds=5)
     return scored.select("arm", F.posexplode(F.arrays_zip("e", "m")).alias("k", "c")).groupBy("arm", "k").agg(F.avg("c.e").alias("propensity"), F.avg("c.m").alias("outcome"))
 
 
 @query
 def refitted_rmst_contrasts(spark, sf):
     frame = contrasts.analysis_frame(views.cohort(spark, sf), ["x1", "x2"], horizon=24.0)
-    return contrasts.rmst_contrasts(frame, reference=0, tau=24.0, folds=2, replicates=8)
+    return contrasts.rmst_contrasts(frame, reference=0, tau=24.0, folds=5, replicates=8)
 
 
 # scenarios
@@ -852,7 +852,7 @@ def locked_validation_job(spark, sf):
 
 @query
 def observational_job(spark, sf):
-    return jobs.observational_report(views.cohort(spark, sf), ["x1", "x2"], reference=0, horizon=24.0, folds=2, replicates=8)
+    return jobs.observational_report(views.cohort(spark, sf), ["x1", "x2"], reference=0, horizon=24.0, folds=5, replicates=8)
 
 
 @query
