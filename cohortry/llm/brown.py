@@ -256,13 +256,13 @@ def brown_scores(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw")).withColumn("held_out", fold("doc_id", folds) == held)
     model, counts, n_tokens = fit_brown(texts.where(~F.col("held_out")), settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "word binary, key long, tf long, doc_id long, n_tokens long, known long, base double, score double"
+    schema = "word binary, key long, tf long, doc_id string, n_tokens long, known long, base double, score double"
 
     def run(batches):
         m = shared.value
         out: list[tuple] = []
         for batch in batches:
-            for key, doc, raw in zip(batch["key"].tolist(), batch["doc_id"].astype("Int64"), batch["raw"]):
+            for key, doc, raw in zip(batch["key"].tolist(), batch["doc_id"], batch["raw"]):
                 n, known, base, score, far = m.score(words(raw))
                 # a row of its own for the text: no word has a blank
                 out.append((b" %d" % key, key, 0, doc, n, known, base, score))
@@ -273,14 +273,15 @@ def brown_scores(
         yield frame(out)
 
     def frame(out):
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    keyed = texts.select("doc_id", "raw", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "raw").alias("key"))
+    # ids travel as text: pandas has no whole numbers with nulls
+    keyed = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "raw", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "raw").alias("key"))
     rows = keyed.mapInPandas(run, schema)
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) * F.col("tf")
     is_text = F.col("tf") == 0
     summed = rows.join(counts, "word", "left").groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.count(F.when(is_text, 1)).alias("rows"), F.max("n_tokens").alias("n_tokens"),
+        F.max("doc_id").cast("long").alias("doc_id"), F.count(F.when(is_text, 1)).alias("rows"), F.max("n_tokens").alias("n_tokens"),
         F.sum("known").alias("known"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("far_known"),
         F.sum(F.col("base") + F.when(is_text, 0.0).otherwise(log)).alias("base"),
         F.sum(F.col("score") + F.when(is_text, 0.0).otherwise(log)).alias("score"),
