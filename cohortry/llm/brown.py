@@ -191,6 +191,24 @@ def pair_counts(texts: DataFrame, items: Items, n: int, blocks: int = 16) -> np.
     return out.reshape(n, n)
 
 
+def most_frequent(counts: DataFrame, n: int) -> list[tuple[bytes, int]]:
+    """The n words with the highest counts, ties by word. A histogram over 64ths of octaves (some thousand rows at most) tells from which
+    count on; only such words, and the best of the step below, are sent."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 64)
+    sizes = sorted(((r["s"], r["count"]) for r in counts.groupBy(step.alias("s")).count().collect()), reverse=True)
+    taken, edge = 0, None
+    for at, size in sizes:
+        if taken + size > n:
+            edge = at
+            break
+        taken += size
+    above = counts if edge is None else counts.where(step > edge)
+    rows = above.collect()
+    if edge is not None and taken < n:
+        rows += counts.where(step == edge).orderBy(F.desc("c"), "word").limit(n - taken).collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda r: (-r[1], r[0]))
+
+
 def fit_brown(training: DataFrame, settings: BrownSettings) -> tuple[Brown, DataFrame, int]:
     """(model, word counts, training tokens) from rows of (raw). The counts cover all rows and stay distributed."""
     s = settings
@@ -199,7 +217,7 @@ def fit_brown(training: DataFrame, settings: BrownSettings) -> tuple[Brown, Data
     total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     texts = training.count()
     n_tokens, n_types = int(total[1]) + texts, int(total[0]) + (texts > 0)
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(s.near).collect()]
+    top = most_frequent(counts, s.near)
     frequent = top[: s.frequent]
     ending = F.expr("substring(word, greatest(length(word) - 1, 1), 2)")
     by_ending = {bytes(r["e"]): [r["c"], r["n"]] for r in counts.groupBy(ending.alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}  # 2**16 at most

@@ -157,28 +157,32 @@ def _bank_prints(raw: bytes, s: CopySettings) -> list[int]:
 def _bank_pairs(nodes: DataFrame, s: CopySettings) -> DataFrame:
     """Candidate pairs (a, b), a < b, of texts (tag, prints): a shared signature, and fingerprints of its bank within the radius.
 
-    Signatures are the one-wildcard variants of `near_pairs`. Up to `paired` texts in one are compared pairwise; in larger ones
-    each text meets the first and the three before it, so their number of pairs grows like the number of texts. Near
-    copies share dozens of signatures, each with other neighbours.
+    Signatures are the one-wildcard variants of `near_pairs`, of different fingerprints; texts with equal ones meet the first of
+    them. Up to `paired` fingerprints in a signature are compared pairwise; in larger ones each meets the first and the three
+    before it, so the number of pairs grows like the number of texts. Near copies share dozens of signatures, each with
+    other neighbours.
     """
     each = nodes.select("tag", F.posexplode("prints").alias("bank", "code"))
+    owners = each.groupBy("bank", "code").agg(F.min("tag").alias("owner"))
     code, number = F.col("code"), F.col("number")
     kept = F.lit(-1).cast("long")
     for segment in _segments(s.radius):
         kept = F.when((number >= segment.start) & (number < segment.stop), code.bitwiseAND(_signed(_mask(segment)))).otherwise(kept)
     signature = F.xxhash64(kept.bitwiseAND(F.expr("~shiftleft(1L, number)")), number, "bank")
-    variants = each.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))).select("tag", "code", signature.alias("key"))
+    variants = owners.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))).select("bank", "code", signature.alias("key"))
     in_key = Window.partitionBy("key")
     shared = variants.withColumn("n", F.count("*").over(in_key)).where("n > 1")
-    ordered = in_key.orderBy("code", "tag")
-    one = F.struct("tag", "code")
-    small = F.col("n") <= s.paired
-    reach = F.when(small, F.collect_list(one).over(ordered.rowsBetween(-s.paired, -1))).otherwise(
-        F.concat(F.array(F.first(one).over(in_key.orderBy("code", "tag").rowsBetween(Window.unboundedPreceding, -1))), F.collect_list(one).over(ordered.rowsBetween(-3, -1)))
+    ordered = in_key.orderBy("code")
+    reach = F.when(F.col("n") <= s.paired, F.collect_list("code").over(ordered.rowsBetween(-s.paired, -1))).otherwise(
+        F.concat(F.array(F.first("code").over(ordered.rowsBetween(Window.unboundedPreceding, -1))), F.collect_list("code").over(ordered.rowsBetween(-3, -1)))
     )
-    met = shared.withColumn("others", reach).select("tag", "code", F.explode("others").alias("o")).where("o is not null")
-    near = met.where((F.col("o.tag") != F.col("tag")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("o.code"))) <= s.radius))
-    return near.select(F.least("tag", "o.tag").alias("a"), F.greatest("tag", "o.tag").alias("b")).distinct()
+    met = shared.withColumn("others", reach).select("bank", "code", F.explode("others").alias("other"))
+    near = met.where((F.col("other") != F.col("code")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("other"))) <= s.radius)).distinct()
+    one = owners.select("bank", "code", F.col("owner").alias("x"))
+    two = owners.select("bank", F.col("code").alias("other"), F.col("owner").alias("y"))
+    apart = near.join(one, ["bank", "code"]).join(two, ["bank", "other"]).select("x", "y")
+    alike = each.join(owners, ["bank", "code"]).select(F.col("owner").alias("x"), F.col("tag").alias("y"))
+    return apart.unionByName(alike).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _few(df: DataFrame, rows: int = 200_000) -> DataFrame:

@@ -164,7 +164,7 @@ def suffix_rows(known: DataFrame, settings: RepeatSettings) -> DataFrame:
 
     `known`: doc_id, tag, raw, grams and packed (the text's anchor hashes that few or many other texts have as well, or null).
     Hashes that come twice in the text itself are added here. An anchor of `packed` is cut into its windows, each a row under a hash
-    of its own. Surroundings that were met before in the batch aren't sent: the spans they make up are repeated bytes already and
+    of its own. Surroundings that were met just before aren't sent: the spans they make up are repeated bytes already and
     go along as rows with null for `raw`, spread by place.
     """
     length = settings.length
@@ -202,10 +202,16 @@ def suffix_rows(known: DataFrame, settings: RepeatSettings) -> DataFrame:
                         else:
                             seen.add((g, p - x, around))
                             out.append((g, doc, tag, p, p - x, around))
-            spans = _joined(*(np.array(column, dtype=np.int64) for column in again))
-            spread = mixed(spans["doc_id"].to_numpy().view(np.uint64) + mixed(spans["start"].to_numpy().view(np.uint64)))
-            known_already = zip(spread.view(np.int64).tolist(), *(spans[c].tolist() for c in ("doc_id", "tag", "start")), (spans["stop"] - spans["start"]).tolist())
-            yield pd.DataFrame(out + [(*row, None) for row in known_already], columns=[c.split()[0] for c in _SUFFIX.split(", ")])
+                if len(out) + len(again[0]) > 20_000:  # a bounded number of rows at a time
+                    yield sent(out, again)
+                    seen, out, again = set(), [], ([], [], [], [])
+            yield sent(out, again)
+
+    def sent(out, again) -> pd.DataFrame:
+        spans = _joined(*(np.array(column, dtype=np.int64) for column in again))
+        spread = mixed(spans["doc_id"].to_numpy().view(np.uint64) + mixed(spans["start"].to_numpy().view(np.uint64)))
+        known_already = zip(spread.view(np.int64).tolist(), *(spans[c].tolist() for c in ("doc_id", "tag", "start")), (spans["stop"] - spans["start"]).tolist())
+        return pd.DataFrame(out + [(*row, None) for row in known_already], columns=[c.split()[0] for c in _SUFFIX.split(", ")])
 
     return known.mapInPandas(run, _SUFFIX)
 
@@ -293,7 +299,7 @@ def _whole_groups(frames, length: int):
     for frame in frames:
         held.append(frame)
         waiting += len(frame)
-        if waiting >= 50_000:
+        if waiting >= 20_000:
             whole = pd.concat(held, ignore_index=True)
             last = whole["gram"] == whole["gram"].iloc[-1]
             if not last.all():
