@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from cohortry.llm.components import components
-from cohortry.llm.text import MIX, mixed, raw_texts, rolling, word_codes, words
+from cohortry.llm.text import raw_texts, rolling, word_codes, words
 from cohortry.session import durable
 
 BITS = 64
@@ -127,62 +128,88 @@ def simhash_groups(
 
 @dataclass(frozen=True)
 class CopySettings:
-    """Texts count as near copies from `similarity` on, the Jaccard index of their sets of `shingle`-word runs. Candidates are texts with
-    one of `banks` independent fingerprints (of `width`-word runs) within `radius` bits. `paired`: texts in a signature up to which all
-    its pairs are compared."""
+    """Texts count as near copies from `similarity` on, the Jaccard index of their sets of `shingle`-word runs. `paired`: texts in a
+    signature up to which all its pairs are compared at once. The `common` most frequent runs of a sample come last in the order of runs."""
 
     shingle: int = 5
     similarity: float = 0.8
-    width: int = 2
-    radius: int = 5
-    banks: int = 4
     paired: int = 32
+    common: int = 65536
 
 
-def _bank_prints(raw: bytes, s: CopySettings) -> list[int]:
-    """Fingerprints of one text, one per bank: majority bits of its runs' hashes, mixed anew for every bank."""
-    runs = rolling(word_codes(words(raw)), s.width)
-    if not len(runs):
-        runs = rolling(word_codes(words(raw)), 1)
-    out = []
-    for bank in range(s.banks):
-        ones = np.zeros(BITS, dtype=np.int64)
-        for at in range(0, len(runs), 65536):
-            part = mixed(runs[at : at + 65536] ^ (MIX * np.uint64(2 * bank + 1)))
-            ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(runs), bitorder="little").view(np.int64)[0]))
-    return out
-
-
-def _bank_pairs(nodes: DataFrame, s: CopySettings) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of texts (tag, prints): a shared signature, and fingerprints of its bank within the radius.
-
-    Signatures are the one-wildcard variants of `near_pairs`, of different fingerprints; texts with equal ones meet the first of
-    them. Up to `paired` fingerprints in a signature are compared pairwise; in larger ones each meets the first and the three
-    before it, so the number of pairs grows like the number of texts. Near copies share dozens of signatures, each with
-    other neighbours.
+def _run_set(raw: bytes, s: CopySettings) -> np.ndarray:
+    """32-bit codes of the different word runs of a text, sorted; runs of all its words if it has fewer than `shingle`."""
+    codes = word_codes(words(raw))
+    return np.unique(rolling(codes, max(1, min(s.shingle, len(codes)))).astype("<u4"))
+
+
+def _common_runs(tagged: DataFrame, s: CopySettings, share: int = 16, least: int = 8) -> np.ndarray:
+    """Runs that many texts hold, rarest first, by the texts whose tag falls into one of `share` parts. They only order the runs:
+    whatever they are, the result is the same."""
+
+    def runs(raws: pd.Series) -> pd.Series:
+        return pd.Series([_run_set(raw, s).view("<i4") for raw in raws])
+
+    sample = tagged.where(F.pmod("tag", F.lit(share)) == 0).select(F.explode(F.pandas_udf(runs, "array<int>")("raw")).alias("run"))
+    counts = durable(sample.groupBy("run").count().where(F.col("count") >= least))
+    room, floor = s.common, None
+    for times, n in sorted(((r["count"], r["n"]) for r in counts.groupBy("count").agg(F.count("*").alias("n")).collect()), reverse=True):
+        if n > room:
+            break
+        room, floor = room - n, times
+    if floor is None:
+        return np.zeros(0, dtype="<u4")
+    found = sorted((r["count"], r["run"]) for r in counts.where(F.col("count") >= floor).collect())
+    return np.array([run for _, run in found], dtype="<i4").view("<u4")
+
+
+def _signatures(common: np.ndarray, s: CopySettings):
+    """UDF of a text's bytes: n, its number of runs, and keys, its first n - ceil(similarity n) + 1 in the common order of runs.
+
+    Two texts with a Jaccard index of `similarity` share at least that part of the runs of either, so their keys share one.
     """
-    each = nodes.select("tag", F.posexplode("prints").alias("bank", "code"))
-    owners = each.groupBy("bank", "code").agg(F.min("tag").alias("owner"))
-    code, number = F.col("code"), F.col("number")
-    kept = F.lit(-1).cast("long")
-    for segment in _segments(s.radius):
-        kept = F.when((number >= segment.start) & (number < segment.stop), code.bitwiseAND(_signed(_mask(segment)))).otherwise(kept)
-    signature = F.xxhash64(kept.bitwiseAND(F.expr("~shiftleft(1L, number)")), number, "bank")
-    variants = owners.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))).select("bank", "code", signature.alias("key"))
+    at = np.argsort(common)
+    known = common[at]
+
+    def run(raws: pd.Series) -> pd.DataFrame:
+        sizes, keys = [], []
+        for raw in raws:
+            found = _run_set(raw, s)
+            n = len(found)
+            sizes.append(n)
+            if n and len(known):
+                place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                often = known[place] == found
+                found = np.concatenate((found[~often], common[np.sort(at[place[often]])]))
+            first = n - math.ceil(s.similarity * n - 1e-9) + 1
+            keys.append(found[:first].view("<i4") if n else np.zeros(1, dtype="<i4"))
+        return pd.DataFrame({"n": np.array(sizes, dtype=np.int32), "keys": keys})
+
+    return F.pandas_udf(run, "n int, keys array<int>")
+
+
+def _shared_keys(nodes: DataFrame) -> DataFrame:
+    """Rows (key, tag, n, times) of the keys that `times` > 1 texts (tag, n, keys) hold."""
+    rows = nodes.select(F.explode("keys").alias("key"), "tag", "n")
+    return rows.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1")
+
+
+def _alike(n: str, m: str, s: CopySettings) -> Column:
+    """Whether sets of n and m runs can be similar enough by their sizes."""
+    return F.least(n, m) >= s.similarity * F.greatest(n, m) - 1e-9
+
+
+def _key_pairs(shared: DataFrame, s: CopySettings) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of texts with a key in common: all pairs of a key of up to `paired` texts; in larger ones each
+    text meets the first and the three before it."""
     in_key = Window.partitionBy("key")
-    shared = variants.withColumn("n", F.count("*").over(in_key)).where("n > 1")
-    ordered = in_key.orderBy("code")
-    reach = F.when(F.col("n") <= s.paired, F.collect_list("code").over(ordered.rowsBetween(-s.paired, -1))).otherwise(
-        F.concat(F.array(F.first("code").over(ordered.rowsBetween(Window.unboundedPreceding, -1))), F.collect_list("code").over(ordered.rowsBetween(-3, -1)))
+    ordered = in_key.orderBy("tag")
+    text = F.struct("tag", "n")
+    reach = F.when(F.col("times") <= s.paired, F.collect_list(text).over(ordered.rowsBetween(-s.paired, -1))).otherwise(
+        F.concat(F.array(F.first(text).over(ordered.rowsBetween(Window.unboundedPreceding, 0))), F.collect_list(text).over(ordered.rowsBetween(-3, -1)))
     )
-    met = shared.withColumn("others", reach).select("bank", "code", F.explode("others").alias("other"))
-    near = met.where((F.col("other") != F.col("code")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("other"))) <= s.radius)).distinct()
-    one = owners.select("bank", "code", F.col("owner").alias("x"))
-    two = owners.select("bank", F.col("code").alias("other"), F.col("owner").alias("y"))
-    apart = near.join(one, ["bank", "code"]).join(two, ["bank", "other"]).select("x", "y")
-    alike = each.join(owners, ["bank", "code"]).select(F.col("owner").alias("x"), F.col("tag").alias("y"))
-    return apart.unionByName(alike).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = shared.withColumn("others", reach).select("tag", "n", F.explode("others").alias("other"))
+    return met.where((F.col("tag") != F.col("other.tag")) & _alike("n", "other.n", s)).select(F.col("other.tag").alias("a"), F.col("tag").alias("b")).distinct()
 
 
 def _few(df: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -190,23 +217,16 @@ def _few(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def near_copy_pairs(tagged: DataFrame, nodes: DataFrame, settings: CopySettings) -> DataFrame:
-    """Checked pairs (a, b) of texts: candidates of `_bank_pairs` whose sets of word runs are similar enough.
+def _similar_pairs(pairs: DataFrame, tagged: DataFrame, nodes: DataFrame, s: CopySettings) -> DataFrame:
+    """Those of the pairs (a, b) of tags whose sets of word runs are similar enough.
 
-    `tagged`: id, tag, raw; `nodes`: one row per text: tag, id (of one row that has it), prints. Only texts in a candidate pair
-    are read again.
+    `tagged`: id, tag, raw; `nodes`: one row per text: tag, id (of one row that has it). Only texts in a pair are read again.
     """
-    s = settings
-    pairs = durable(_bank_pairs(nodes, s))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
     wanted = _few(durable(nodes.join(ends, nodes["tag"] == ends["t"]).select("t", F.col("id").alias("i"))))
 
     def runs(raws: pd.Series) -> pd.Series:
-        out = []
-        for raw in raws:
-            codes = word_codes(words(raw))
-            out.append(np.unique(rolling(codes, max(1, min(s.shingle, len(codes)))).astype("<u4")).tobytes())
-        return pd.Series(out)
+        return pd.Series([_run_set(raw, s).tobytes() for raw in raws])
 
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
@@ -219,26 +239,28 @@ def near_copy_pairs(tagged: DataFrame, nodes: DataFrame, settings: CopySettings)
     read = tagged.join(wanted, (F.col("tag") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")))
     sets = durable(read.select("t", F.pandas_udf(runs, "binary")("raw").alias("set")).dropDuplicates(["t"]))
     both = pairs.join(sets.select(F.col("t").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("y")), "b")
-    return both.where(F.pandas_udf(similar, "double")("x", "y") >= s.similarity).select("a", "b")
+    return durable(both.where(F.pandas_udf(similar, "double")("x", "y") >= s.similarity).select("a", "b"))
+
+
+def near_copy_pairs(tagged: DataFrame, nodes: DataFrame, settings: CopySettings) -> DataFrame:
+    """Checked pairs (a, b), a < b, of near copies. `tagged`: id, tag, raw; `nodes`: one row per text: tag, id, n, keys."""
+    shared = durable(_shared_keys(nodes))
+    return _similar_pairs(durable(_key_pairs(shared, settings)), tagged, nodes, settings)
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: CopySettings = CopySettings()) -> DataFrame:
     """The row with the smallest id of every group of copies and near copies, all columns as they are.
 
     A group holds what is reachable over equal texts and checked near copies. Null ids come last, ties go by a hash of the text, equal
-    rows count once. Null texts are empty; texts without a word are copies of each other only if equal or equal but for blanks.
+    rows count once. Null texts are empty; texts without a word are copies of each other.
     """
     s = settings
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-
-    def prints(raws: pd.Series) -> pd.Series:
-        return pd.Series([_bank_prints(text, s) for text in raws])
-
     tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(raw).alias("tag"), raw.alias("raw"))
-    marked = durable(tagged.select("id", "tag", F.pandas_udf(prints, "array<long>")("raw").alias("prints")))
+    signed = tagged.select("id", "tag", _signatures(_common_runs(tagged, s), s)("raw").alias("of"))
     least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tag")).alias("least")
-    nodes = durable(marked.groupBy("tag").agg(least, F.first("prints").alias("prints")).select("tag", F.col("least.id").alias("id"), "prints"))
-    found = components(near_copy_pairs(tagged.select("id", "tag", "raw"), nodes.where(F.size("prints") > 0), s), "a", "b")
+    nodes = durable(signed.groupBy("tag").agg(least, F.first("of").alias("of")).select("tag", F.col("least.id").alias("id"), "of.n", "of.keys"))
+    found = components(near_copy_pairs(tagged.select("id", "tag", "raw"), nodes, s), "a", "b")
     placed = nodes.join(found, nodes["tag"] == found["node"], "left").select("tag", "id", F.coalesce("component", "tag").alias("component"))
     chosen = placed.groupBy("component").agg(least).select(F.col("least.id").alias("i"), F.col("least.tag").alias("t")).distinct()
     kept = tagged.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("row", "id", "tag")

@@ -117,3 +117,36 @@ def test_one_of_each_group_of_near_copies(spark, paired):
     assert kept.columns == table.columns
     got = sorted((r.doc_id for r in kept.collect()), key=str)
     assert got == sorted((min((x for x in ids if x is not None), default=None) for ids in want.values()), key=str)
+
+
+def linked_groups(texts):
+    """Position of the first text of every group over pairs of a Jaccard index of 0.8 or more, by all pairs."""
+    sets = [runs_of(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {find(k) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("common", [0, 65536])
+def test_near_copies_with_a_block_appended_or_inserted(spark, common):
+    pick = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for family in range(60):
+        base = pick.choices(vocabulary, k=(200, 400, 1000)[family % 3])
+        block = pick.choices(vocabulary, k=int(len(base) * (0.09, 0.15, 0.235)[family // 3 % 3]))
+        at = len(base) if family % 2 else pick.randrange(len(base))
+        texts += [" ".join(base), " ".join(base[:at] + block + base[at:])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in one_of_each_group(table, settings=CopySettings(common=common)).collect()}
+    assert kept == linked_groups(texts)
+    assert len(kept) < 70  # most pairs are near copies; an inserted 0.235 of 200 words is not
