@@ -201,7 +201,7 @@ def _alike(n: str, m: str, s: CopySettings) -> Column:
 
 def _key_pairs(shared: DataFrame, s: CopySettings) -> DataFrame:
     """Candidate pairs (a, b), a < b, of texts with a key in common: all pairs of a key of up to `paired` texts; in larger ones each
-    text meets the first and the three before it."""
+    text meets the first and the three before it, and `_open_pairs` adds what they leave apart."""
     in_key = Window.partitionBy("key")
     ordered = in_key.orderBy("tag")
     text = F.struct("tag", "n")
@@ -217,11 +217,23 @@ def _few(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _possible_pairs(pairs: DataFrame, nodes: DataFrame, s: CopySettings) -> DataFrame:
+    """The pairs (a, b) whose keys have enough in common. Beyond its keys the text whose keys end first has n - size(keys) runs to
+    share, and similar sets share similarity / (1 + similarity) of the sum of their sizes."""
+    side = lambda tag: nodes.select(F.col("tag").alias(tag), F.col("n").alias(f"n{tag}"), F.col("keys").alias(f"k{tag}"))
+    need = F.ceil(s.similarity / (1 + s.similarity) * (F.col("na") + F.col("nb")) - 1e-9)
+    rest = F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.size(F.array_intersect("ka", "kb")) >= need - rest).select("a", "b")
+
+
 def _similar_pairs(pairs: DataFrame, tagged: DataFrame, nodes: DataFrame, s: CopySettings) -> DataFrame:
     """Those of the pairs (a, b) of tags whose sets of word runs are similar enough.
 
-    `tagged`: id, tag, raw; `nodes`: one row per text: tag, id (of one row that has it). Only texts in a pair are read again.
+    `tagged`: id, tag, raw; `nodes`: one row per text: tag, id (of one row that has it), n, keys. Only texts in a possible pair are
+    read again.
     """
+    pairs = durable(_possible_pairs(pairs, nodes, s))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
     wanted = _few(durable(nodes.join(ends, nodes["tag"] == ends["t"]).select("t", F.col("id").alias("i"))))
 
@@ -242,10 +254,38 @@ def _similar_pairs(pairs: DataFrame, tagged: DataFrame, nodes: DataFrame, s: Cop
     return durable(both.where(F.pandas_udf(similar, "double")("x", "y") >= s.similarity).select("a", "b"))
 
 
+def _open_pairs(shared: DataFrame, found: DataFrame, done: DataFrame, s: CopySettings) -> DataFrame:
+    """Pairs (a, b) of texts that share a crowded key, lie in different components so far (`found`) and weren't compared (`done`).
+
+    The largest component of a key is only met by the others, so a key whose texts are all linked gives no row.
+    """
+    crowded = shared.where(F.col("times") > s.paired).join(found.withColumnRenamed("node", "tag"), "tag", "left")
+    crowded = durable(crowded.select("key", "tag", "n", F.coalesce("component", "tag").alias("component")))
+    parts = crowded.groupBy("key", "component").count()
+    split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main")).where("parts > 1")
+    split = durable(split.select("key", "main"))
+    texts = crowded.join(split, "key")
+    a, b = texts.where("component != main").alias("a"), texts.alias("b")
+    once = (F.col("b.component") == F.col("b.main")) | (F.col("a.tag") < F.col("b.tag"))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & _alike("a.n", "b.n", s)
+    met = a.join(b, apart).select(F.least("a.tag", "b.tag").alias("a"), F.greatest("a.tag", "b.tag").alias("b")).distinct()
+    return met.join(done, ["a", "b"], "left_anti")
+
+
 def near_copy_pairs(tagged: DataFrame, nodes: DataFrame, settings: CopySettings) -> DataFrame:
-    """Checked pairs (a, b), a < b, of near copies. `tagged`: id, tag, raw; `nodes`: one row per text: tag, id, n, keys."""
+    """Checked pairs (a, b), a < b, of near copies, enough to link all that can be reached over such pairs. `tagged`: id, tag, raw;
+    `nodes`: one row per text: tag, id, n, keys.
+
+    In crowded keys a few pairs a text link most members of a family; what they leave in different components is compared in full.
+    """
+    s = settings
     shared = durable(_shared_keys(nodes))
-    return _similar_pairs(durable(_key_pairs(shared, settings)), tagged, nodes, settings)
+    pairs = durable(_key_pairs(shared, s))
+    near = _similar_pairs(pairs, tagged, nodes, s)
+    if shared.where(F.col("times") > s.paired).isEmpty():
+        return near
+    rest = durable(_open_pairs(shared, components(near, "a", "b"), pairs, s))
+    return near if rest.isEmpty() else near.unionByName(_similar_pairs(rest, tagged, nodes, s))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: CopySettings = CopySettings()) -> DataFrame:

@@ -150,3 +150,22 @@ def test_near_copies_with_a_block_appended_or_inserted(spark, common):
     kept = {r.doc_id for r in one_of_each_group(table, settings=CopySettings(common=common)).collect()}
     assert kept == linked_groups(texts)
     assert len(kept) < 70  # most pairs are near copies; an inserted 0.235 of 200 words is not
+
+
+@pytest.mark.parametrize("paired", [2, 8])
+def test_family_whose_members_reach_only_some_others(spark, paired):
+    pick = random.Random(9)
+    template = [f"t{i}" for i in range(300)]
+    texts = []
+    for _ in range(25):  # pairs of texts at 0.85 and more, but below 0.8 to the other pairs
+        words = list(template)
+        for at in pick.sample(range(300), 9):
+            words[at] = f"x{pick.random()}"
+        texts.append(" ".join(words))
+        words[pick.randrange(300)] = f"x{pick.random()}"
+        texts.append(" ".join(words))
+    pick.shuffle(texts)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in one_of_each_group(table, settings=CopySettings(paired=paired)).collect()}
+    assert kept == linked_groups(texts)
+    assert 10 < len(kept) < 50
