@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from cohortry.llm import chat
 from cohortry.llm.brown import brown_scores
 from cohortry.llm.decontaminate import leaks
 from cohortry.llm.mixing import mix
+from cohortry.llm.pieces import decode, encode
 from cohortry.llm.quality import quality_scores
 from cohortry.llm.simhash import simhash_groups
 from cohortry.llm.suffixes import without_repeats
@@ -69,6 +71,13 @@ def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(read(spark, sf_dir, "documents"))
 
 
+def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = decode(encode(read(spark, sf_dir, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_top_vectors": op2_top_vectors,
@@ -80,6 +89,7 @@ QUERIES = {
     "op8_simhash_groups": op8_simhash_groups,
     "op9_passage_groups": op9_passage_groups,
     "op10_brown_scores": op10_brown_scores,
+    "op11_piece_ids": op11_piece_ids,
 }
 
 ORACLES: dict[str, str] = {
