@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import chat
+from cohortry.llm.alignment import link_scores
 from cohortry.llm.brown import brown_scores
 from cohortry.llm.decontaminate import leaks
+from cohortry.llm.merkle import folded, leaf_hash, manifest, member_proofs
 from cohortry.llm.mixing import mix
 from cohortry.llm.pieces import decode, encode
 from cohortry.llm.quality import quality_scores
@@ -78,6 +80,24 @@ def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    told = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text"))
+    made = manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], carry={"shown": F.when(told & F.col("n_chars").isNotNull(), changed)})
+    text = lambda digest: F.lower(F.hex(digest))
+    found = member_proofs(made).withColumn("end", folded(F.coalesce("shown", "leaf"), "idx", "n", "place", "groups", "proof"))
+    return found.select(
+        F.col("id").alias("doc_id"), text(F.col("leaf")).alias("leaf"), text(F.col("subroot")).alias("subroot"), text(F.col("root")).alias("root"),
+        F.sha2(F.array_join(F.transform("proof", text), ""), 256).alias("proof_sha256"), text(F.col("end")).alias("folded_root"),
+        (F.col("end") == F.col("root")).alias("verified"))
+
+
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return link_scores(read(spark, sf_dir, "documents"), *models)
+
+
 QUERIES = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_top_vectors": op2_top_vectors,
@@ -90,6 +110,8 @@ QUERIES = {
     "op9_passage_groups": op9_passage_groups,
     "op10_brown_scores": op10_brown_scores,
     "op11_piece_ids": op11_piece_ids,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_links": op13_token_links,
 }
 
 ORACLES: dict[str, str] = {
@@ -122,4 +144,57 @@ ORACLES: dict[str, str] = {
             formatted_chars::BIGINT AS formatted_chars
         FROM joined
     """,
+    "op12_merkle_manifest": """
+        WITH RECURSIVE codes AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t
+        ), rows AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS k, n_chars,
+                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                coalesce(strlen(text) || ':' || text, '-') AS tail,
+                coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                    lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295::BIGINT) % 7 = 0, false) AS told
+            FROM documents, codes
+        ), leaf0 AS (
+            SELECT doc_id, k, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') || tail) AS leaf,
+                sha256(head || coalesce(strlen((n_chars + told::INT)::VARCHAR) || ':' || (n_chars + told::INT)::VARCHAR, '-') || tail) AS shown
+            FROM rows
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY k) AS n FROM leaf0
+        ), tree AS (
+            SELECT k, 0 AS level, idx, leaf AS h, n AS width FROM leaves
+            UNION ALL
+            SELECT k, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(width) + 1) // 2
+            FROM tree WHERE width > 1 GROUP BY k, level, idx // 2
+        ), subs AS (
+            SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS g FROM tree WHERE width = 1
+        ), top AS (
+            SELECT 0 AS level, place AS idx, subroot AS h, g AS width FROM subs
+            UNION ALL
+            SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(width) + 1) // 2
+            FROM top WHERE width > 1 GROUP BY level, idx // 2
+        ), siblings AS (
+            SELECT l.k, l.idx, t.level AS step, t.h FROM leaves l JOIN tree t ON t.k = l.k AND t.idx = xor(l.idx >> t.level, 1)
+            UNION ALL
+            SELECT l.k, l.idx, 100 + p.level, p.h FROM leaves l JOIN subs s ON s.k = l.k JOIN top p ON p.idx = xor(s.place >> p.level, 1)
+        ), proofs AS (
+            SELECT k, idx, string_agg(h, '' ORDER BY step) AS proof FROM siblings GROUP BY k, idx
+        ), folding AS (
+            SELECT k, idx, shown AS h, idx AS here, n AS width, 0 AS level FROM leaves
+            UNION ALL
+            SELECT f.k, f.idx, sha256(CASE WHEN t.h IS NULL THEN f.h WHEN f.here & 1 = 1 THEN t.h || f.h ELSE f.h || t.h END),
+                f.here // 2, (f.width + 1) // 2, f.level + 1
+            FROM folding f LEFT JOIN tree t ON t.k = f.k AND t.level = f.level AND t.idx = xor(f.here, 1) WHERE f.width > 1
+        ), lifting AS (
+            SELECT f.k, f.idx, f.h, s.place AS here, s.g AS width, 0 AS level FROM folding f JOIN subs s ON s.k = f.k WHERE f.width = 1
+            UNION ALL
+            SELECT f.k, f.idx, sha256(CASE WHEN t.h IS NULL THEN f.h WHEN f.here & 1 = 1 THEN t.h || f.h ELSE f.h || t.h END),
+                f.here // 2, (f.width + 1) // 2, f.level + 1
+            FROM lifting f LEFT JOIN top t ON t.level = f.level AND t.idx = xor(f.here, 1) WHERE f.width > 1
+        )
+        SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+        FROM leaves l JOIN subs s ON s.k = l.k JOIN lifting f ON f.k = l.k AND f.idx = l.idx AND f.width = 1
+            CROSS JOIN (SELECT h FROM top WHERE width = 1) r LEFT JOIN proofs p ON p.k = l.k AND p.idx = l.idx
+    """,
 }

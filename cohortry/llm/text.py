@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.session import checkpoint_dir
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -15,6 +18,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder as Parquet (columns can be left out when reading) and read back."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
