@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.tokenizers import Numbered, PieceTokenizer, marked_words, model_bytes
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def _dealt(words, parts: int) -> dict[int, list[str]]:
@@ -78,10 +78,16 @@ def _gather(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.n
     return flat[np.repeat(starts[codes] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _placed(parts: int):
-    kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _decoder(model: bytes):
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    return lambda ids: library.decode(ids.tolist()) if len(ids) else ""
+
+
+def _placed(parts: int, model: bytes | None):
+    kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + ([("decoded", pa.string())] if model else []))
 
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
+        decoded = _decoder(model) if model else None
         number = Numbered()
         codes = [np.fromiter(map(number.__getitem__, marked_words(t.as_py())), np.int32) for t in docs["text"]]
         packed = dict(zip(table["part"].to_pylist(), table["ids"].to_pylist()))
@@ -107,16 +113,22 @@ def _placed(parts: int):
                 high += 1
             ends = np.cumsum([0, *(int(size[c].sum()) for c in codes[low:high])])
             # a list array counts in 32 bits: one text is far below that
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_gather(np.concatenate(codes[low:high]), start, size, everything)))
-            batches.append(pa.RecordBatch.from_arrays([docs["doc_id"].slice(low, high - low).combine_chunks(), lists], schema=kind))
+            ids = _gather(np.concatenate(codes[low:high]), start, size, everything)
+            columns = [docs["doc_id"].slice(low, high - low).combine_chunks(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+            if decoded:
+                columns.append(pa.array([decoded(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string()))
+            batches.append(pa.RecordBatch.from_arrays(columns, schema=kind))
             low = high
         return pa.Table.from_batches(batches, schema=kind)
 
     return run
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row (doc_id, ids) per row of `docs`: the ids that the library's `encode` gives for the whole text.
+def encode(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """One row (doc_id, ids) per row of `docs`: the ids that the library's `encode` gives for the whole text; with `decoded` also the
+    text that its `decode` gives for them, in the same task.
 
     Where no piece crosses a whitespace marker a text is segmented marked word by marked word. Texts are dealt to blocks of about
     `block_bytes` by hash. A block lists its distinct marked words; lists meet by hash of the word in the parts of a table, where
@@ -136,7 +148,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     texts = given.select(block.alias("block"), "doc_id", "text").repartition(blocks, "block")
     lists = texts.mapInPandas(_listed(parts), "block int, part int, words binary")
     table = lists.repartition(parts, "part").mapInPandas(_segmented(proto), "block int, part int, ids binary")
-    return texts.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_placed(parts), "doc_id long, ids array<int>")
+    return texts.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(
+        _placed(parts, proto if decoded else None), "doc_id long, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
@@ -145,8 +158,8 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", name: str = "de
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        library = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        decoded = _decoder(proto)
         for ids in batches:
-            yield pd.Series([library.decode(x.tolist()) if len(x) else "" for x in ids], dtype=object)
+            yield pd.Series([decoded(x) for x in ids], dtype=object)
 
     return encoded.withColumn(name, text(F.filter(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: i.isNotNull())))

@@ -12,7 +12,7 @@ from cohortry.llm.brown import brown_scores
 from cohortry.llm.decontaminate import leaks
 from cohortry.llm.merkle import folded, leaf_hash, manifest, member_proofs
 from cohortry.llm.mixing import mix
-from cohortry.llm.pieces import decode, encode
+from cohortry.llm.pieces import encode
 from cohortry.llm.quality import quality_scores
 from cohortry.llm.simhash import simhash_groups
 from cohortry.llm.suffixes import without_repeats
@@ -75,7 +75,7 @@ def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = decode(encode(read(spark, sf_dir, "documents"), model), model)
+    found = encode(read(spark, sf_dir, "documents"), model, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

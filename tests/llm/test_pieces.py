@@ -36,6 +36,7 @@ def test_same_as_library(spark, library, block_bytes):
     texts = list(enumerate(ODD))
     docs = spark.createDataFrame([(i, t, "b", 1, None) for i, t in texts], "doc_id long, text string, block string, part int, ids string")
     compare(decode(encode(docs, MODEL, block_bytes=block_bytes), MODEL), texts, library)
+    compare(encode(docs, MODEL, decoded=True, block_bytes=block_bytes), texts, library)
 
 
 def test_given_documents(spark, sf_dir, library):
