@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -15,28 +14,8 @@ from pyspark.sql import functions as F
 from cohortry.llm.text import written
 from cohortry.llm.tokenizers import ByteTokenizer, Numbered, PieceTokenizer, model_bytes, spaced_words
 
-BLOCK_BYTES = 32 << 20
-
-
-def align_window(a: tuple, b: tuple, size_a: list[int], size_b: list[int]) -> list[tuple[tuple, tuple]]:
-    """Groups of two id tuples over the same bytes: cut wherever tokens of both end."""
-    groups, i, j, low_i, low_j, end_a, end_b = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b:
-            end_a += size_a[a[i]]
-            i += 1
-        else:
-            end_b += size_b[b[j]]
-            j += 1
-        if end_a == end_b:
-            groups.append((a[low_i:i], b[low_j:j]))
-            low_i, low_j = i, j
-    return groups
-
-
-def written_groups(groups: list[tuple[tuple, tuple]]) -> str:
-    """`a1,a2|b1;a3|b2,b3`"""
-    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+BLOCK_BYTES = 8 << 20
+BETWEEN = b"\xff" * 4  # no id
 
 
 def _runs(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -45,73 +24,96 @@ def _runs(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-@dataclass
 class _Side:
-    """One tokenizer of a task: token lengths, and which tokens begin with a space."""
-
-    tokenizer: object
+    """One tokenizer of a task: bytes and lengths of its tokens, and which begin with a space."""
 
-    def __post_init__(self):
-        raw = self.tokenizer.token_bytes()
-        self.raw = raw
-        self.size = np.fromiter(map(len, raw), np.int64, len(raw))
-        self.size_list = self.size.tolist()
-        self.spaced = np.fromiter((x[:1] == b" " for x in raw), bool, len(raw))
+    def __init__(self, tokenizer):
+        self.raw = tokenizer.token_bytes()
+        self.size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        self.spaced = np.fromiter((x[:1] == b" " for x in self.raw), bool, len(self.raw))
+        self.flat = tokenizer.segment if isinstance(tokenizer, ByteTokenizer) else lambda words: tokenizer.flat(words, self.raw)
 
     def tokens(self, words: list[str], told: list[bytes]):
         """Ids of the words, flat, with number and start per word, and whether their bytes are those of the word."""
-        ids = self.tokenizer.segment(words)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for of in ids for i in of), np.int64, int(n.sum()))
-        same = np.fromiter((b"".join([self.raw[i] for i in of]) == word for of, word in zip(ids, told)), bool, len(ids))
-        return flat, n, np.cumsum(n) - n, same
+        flat, n = self.flat(words)
+        start = np.cumsum(n) - n
+        ids, raw = flat.tolist(), self.raw
+        same = np.fromiter((b"".join([raw[i] for i in ids[s : s + m]]) == word for s, m, word in zip(start.tolist(), n.tolist(), told)), bool, len(words))
+        return flat, n, start, same
 
 
 class _Windows:
-    """Alignments by pair of id tuples: groups as text, their number, and linked id pairs with how often each is linked."""
+    """Windows by their pair of id tuples. Each is aligned once: its groups as text, their number, and its linked id pairs."""
 
     def __init__(self, a: _Side, b: _Side):
-        self.a, self.b = a, b
-        self.code: dict[tuple[bytes, bytes], int] = {}
+        self.code: dict[bytes, int] = {}
         self.text: list[str] = []
-        self.groups: list[int] = []
-        self.pairs: list[dict[int, int]] = []
-
-    def add(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (tuple(np.frombuffer(side, np.int32).tolist()) for side in key)
-        groups = align_window(a, b, self.a.size_list, self.b.size_list) if len(a) > 1 or len(b) > 1 else [(a, b)]
-        pairs: dict[int, int] = {}
-        for left, right in groups:
-            # a long group is counted by its different ids, not pair by pair
-            of_a, of_b = ({i: side.count(i) for i in side} if len(side) < 50 else dict(zip(*np.unique(side, return_counts=True))) for side in (left, right))
-            for i, n in of_a.items():
-                for j, m in of_b.items():
-                    pair = int(i) << 32 | int(j)
-                    pairs[pair] = pairs.get(pair, 0) + int(n) * int(m)
-        number = self.code[key] = len(self.text)
-        self.text.append(written_groups(groups))
-        self.groups.append(len(groups))
-        self.pairs.append(pairs)
-        return number
+        self.groups: list[np.ndarray] = []
+        self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # window, pair, how often
+        self.first_b = 2 * len(a.raw)
+        ends = [(a, ","), (a, "|"), (b, ","), (b, ";")]
+        self.signs = [f"{i}{end}" for side, end in ends for i in range(len(side.raw))]
+        self.n_a, self.n_b = len(a.raw), len(b.raw)
+
+    def align(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        """Align new windows together: `group_a` and `group_b` are ends of all groups in the ids, `first` and `count` the windows' groups."""
+        number = len(self.text) + np.arange(len(first))
+        of = _runs(count, first)
+        owner = np.repeat(number, count)
+        start_a, start_b = (np.where(of > 0, ends[of - 1], 0) for ends in (group_a, group_b))
+        n, m = group_a[of] - start_a, group_b[of] - start_b
+        # ids with their separators, a group's A tokens before its B tokens
+        at = np.cumsum(n + m) - (n + m)
+        signs = np.empty(int((n + m).sum()), np.int64)
+        signs[_runs(n, at)] = ids_a[_runs(n, start_a)]
+        signs[_runs(m, at + n)] = ids_b[_runs(m, start_b)] + 2 * self.n_a
+        signs[at + n - 1] += self.n_a
+        signs[at + n + m - 1] += self.n_b
+        table = self.signs
+        told = [table[s] for s in signs.tolist()]
+        ends = np.cumsum(np.bincount(owner - number[0], n + m, len(first)).astype(np.int64)).tolist() if len(first) else []
+        self.text += ["".join(told[x:y]) for x, y in zip([0, *ends], ends)]
+        self.groups.append(count)
+        # all pairs of a group; a very long group is counted by its different ids instead
+        short = n * m <= 4096
+        size = (n * m)[short]
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        wide = np.repeat(m[short], size)
+        left = ids_a[np.repeat(start_a[short], size) + within // wide]
+        right = ids_b[np.repeat(start_b[short], size) + within % wide]
+        self.links.append((np.repeat(owner[short], size), left << 32 | right, np.ones(len(left), np.int64)))
+        for k in np.flatnonzero(~short).tolist():
+            x, times_x = np.unique(ids_a[start_a[k] : start_a[k] + n[k]], return_counts=True)
+            y, times_y = np.unique(ids_b[start_b[k] : start_b[k] + m[k]], return_counts=True)
+            self.links.append((np.full(len(x) * len(y), owner[k]), (x[:, None] << 32 | y[None]).reshape(-1), (times_x[:, None] * times_y[None]).reshape(-1)))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different id pairs, in order; and for all windows, one after the other, their number, places in that list and weights."""
+        window, pair, times = (np.concatenate([x[c] for x in self.links]) if self.links else np.zeros(0, np.int64) for c in range(3))
+        listed, place = np.unique(pair, return_inverse=True)
+        both, back = np.unique(window * max(len(listed), 1) + place, return_inverse=True)
+        weight = np.bincount(back, times, len(both)).astype(np.int64)
+        return listed, np.bincount(both // max(len(listed), 1), minlength=len(self.text)), both % max(len(listed), 1), weight
 
 
 def _block(texts: list[str], a: _Side, b: _Side):
-    """Per text its window numbers (empty where tokens don't give the text back) with numbers of tokens, and the windows."""
+    """Per text its numbers of tokens and its window numbers (none where tokens don't give the text back), and the windows."""
     number = Numbered()
-    codes = [np.fromiter(map(number.__getitem__, spaced_words(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    codes = [np.fromiter(map(number.__getitem__, spaced_words(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
     words = list(number)
+    del number
     told = [w.encode() for w in words]
     flat_a, n_a, start_a, same_a = a.tokens(words, told)
     flat_b, n_b, start_b, same_b = b.tokens(words, told)
     same, width = same_a & same_b, np.fromiter(map(len, told), np.int64, len(told))
-    del told
+    del told, words
     found = _Windows(a, b)
     out = []
     low = 0
     while low < len(texts):
         # full token sequences of some texts at a time
         high, n = low, 0
-        while high < len(texts) and (n < 1_000_000 or high == low):
+        while high < len(texts) and (n < 300_000 or high == low):
             n += len(codes[high])
             high += 1
         # words that don't give their bytes back make the whole text's bytes differ, unless such words make up for one another
@@ -131,23 +133,28 @@ def _block(texts: list[str], a: _Side, b: _Side):
         text_ends = np.cumsum([int(width[c].sum()) for c in used])
         closing = np.zeros(total + 1, bool)
         closing[text_ends] = True
-        anchor = (marked_a[shared_a + 1] & marked_b[shared_b + 1]) | closing[ends_a[shared_a]]
+        anchor = np.flatnonzero((marked_a[shared_a + 1] & marked_b[shared_b + 1]) | closing[ends_a[shared_a]])
         stop_a, stop_b = shared_a[anchor] + 1, shared_b[anchor] + 1
         raw_a, raw_b = ids_a.astype(np.int32).tobytes(), ids_b.astype(np.int32).tobytes()
-        get, add = found.code.get, found.add
-        windows = []
+        known, windows, fresh = found.code, [], []
         i = j = 0
         for p, q in zip((stop_a * 4).tolist(), (stop_b * 4).tolist()):
-            key = raw_a[i:p], raw_b[j:q]
-            w = get(key)
-            windows.append(add(key) if w is None else w)
+            key = raw_a[i:p] + BETWEEN + raw_b[j:q]
+            w = known.get(key)
+            if w is None:
+                w = known[key] = len(known)
+                fresh.append(len(windows))
+            windows.append(w)
             i, j = p, q
-        windows = np.array(windows, np.int64)
+        first = np.concatenate([[0], anchor[:-1] + 1])[fresh] if fresh else np.zeros(0, np.int64)
+        if fresh:
+            found.align(ids_a, ids_b, shared_a + 1, shared_b + 1, first, anchor[fresh] + 1 - first)
+        windows = np.array(windows, np.int32)
         owner_end = np.searchsorted(ends_a[stop_a - 1], text_ends, side="right") if len(stop_a) else np.zeros(len(used), np.int64)
-        first = 0
+        begin = 0
         for c, last in zip(used, owner_end.tolist()):
-            out.append((int(n_a[c].sum()), int(n_b[c].sum()), windows[first:last]))
-            first = last
+            out.append((int(n_a[c].sum()), int(n_b[c].sum()), windows[begin:last]))
+            begin = last
         low = high
     return out, found
 
@@ -195,11 +202,12 @@ def aligned_groups(docs: DataFrame, byte_model: str, piece_model: str, id_col: s
         sides = _sides(a_model, b_model)
         for ids, texts in _blocks(frames, block_bytes):
             found, windows = _block(texts, *sides)
+            groups = np.concatenate([*windows.groups, np.zeros(0, np.int64)])
             for k in range(0, len(found), 1000):
                 part = found[k : k + 1000]
                 yield pd.DataFrame({
                     "doc_id": _long([None if i is None else int(i) for i in ids[k : k + 1000]]), "n_a": [f[0] for f in part], "n_b": [f[1] for f in part],
-                    "n_groups": [sum(windows.groups[w] for w in f[2]) for f in part], "groups": [";".join([windows.text[w] for w in f[2]]) for f in part]})
+                    "n_groups": [int(groups[f[2]].sum()) for f in part], "groups": ["".join([windows.text[w] for w in f[2]])[:-1] for f in part]})
 
     return _slim(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_a long, n_b long, n_groups long, groups string")
 
@@ -216,13 +224,10 @@ def _linked(a_model: bytes, b_model: bytes, block_bytes: int):
         task = TaskContext.get().partitionId()
         for turn, (ids, texts) in enumerate(_blocks(frames, block_bytes)):
             found, windows = _block(texts, *sides)
-            sizes = np.fromiter(map(len, windows.pairs), np.int64, len(windows.pairs))
+            pairs, sizes, place, weight = windows.pairs()
             start = np.cumsum(sizes) - sizes
-            flat = np.fromiter((p for of in windows.pairs for p in of), np.int64, int(sizes.sum()))
-            weight = np.fromiter((n for of in windows.pairs for n in of.values()), np.int64, len(flat))
-            pairs, place = np.unique(flat, return_inverse=True)
             links = np.add.reduceat(weight, start) if len(start) else weight
-            groups = np.array(windows.groups, np.int64)
+            groups = np.concatenate([*windows.groups, np.zeros(0, np.int64)])
             block, docs = task << 32 | turn, np.zeros(len(pairs), np.int32)
             for k in range(0, len(found), 2000):
                 part = found[k : k + 2000]
@@ -230,7 +235,7 @@ def _linked(a_model: bytes, b_model: bytes, block_bytes: int):
                 for doc_id, (n_a, n_b, of) in zip(ids[k : k + 2000], part):
                     used, times = np.unique(of, return_counts=True)
                     docs[np.unique(place[_runs(sizes[used], start[used])])] += 1
-                    digest = sha256(";".join([windows.text[w] for w in of.tolist()]).encode()).hexdigest() if len(of) else ""
+                    digest = sha256("".join([windows.text[w] for w in of.tolist()])[:-1].encode()).hexdigest() if len(of) else ""
                     rows.append((block, 0, doc_id, n_a, n_b, int(groups[used] @ times), int(links[used] @ times), digest,
                                  _packed(np.diff(used, prepend=0)), _packed(times)) + (None,) * 5)
                 yield pd.DataFrame(rows, columns=names)

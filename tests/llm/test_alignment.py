@@ -10,9 +10,9 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from cohortry.llm import registry
-from cohortry.llm.alignment import align_window, aligned_groups, link_scores, written_groups
+from cohortry.llm.alignment import aligned_groups, link_scores
 from cohortry.llm.text import read
-from cohortry.llm.tokenizers import ByteTokenizer, spaced_words
+from cohortry.llm.tokenizers import ByteTokenizer, PieceTokenizer, model_bytes, spaced_words
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -113,17 +113,28 @@ def test_empty_table(spark):
     assert link_scores(empty, BYTES, PIECES).collect() == [] and aligned_groups(empty, BYTES, PIECES).collect() == []
 
 
-def test_window_groups():
-    size = [1, 2, 3, 4]
-    groups = align_window((0, 2, 1), (3, 1), size, size)
-    assert groups == [((0, 2), (3,)), ((1,), (1,))] and written_groups(groups) == "0,2|3;1|1"
-    assert align_window((1, 0), (0, 1), size, size) == [((1, 0), (0, 1))]
+def test_long_groups_are_counted_by_ids(spark, brute, monkeypatch):
+    import numpy as np
+
+    from cohortry.llm import alignment
+
+    with open(BYTES, "rb") as x, open(PIECES, "rb") as y:
+        sides = alignment._sides(x.read(), y.read())
+    found = alignment._Windows(*sides)
+    ids_a, ids_b = np.array([5, 7, 5] * 40), np.array([3, 4] * 50)
+    found.align(ids_a, ids_b, np.array([120]), np.array([100]), np.array([0]), np.array([1]))
+    listed, sizes, place, weight = found.pairs()
+    assert {(int(p >> 32), int(p & 0xFFFFFFFF)): int(weight[k]) for k, p in zip(np.argsort(place), listed)} == {(5, 3): 4000, (5, 4): 4000, (7, 3): 2000, (7, 4): 2000}
+    assert sizes.tolist() == [4] and found.text[0].count(",") == 218
 
 
 def test_words_are_tokenised_alone(brute):
     with open(BYTES, "rb") as file:
         words = ByteTokenizer(file.read())
-    for text in filter(None, ODD):
+    assert words.ranks is not None
+    pieces = PieceTokenizer(model_bytes(PIECES))
+    for text in [*filter(None, ODD), "".join(chr(c) + (" x" if c % 7 == 0 else "") for c in [*range(1, 0xD800), *range(0xE000, 0x11000)])]:
         cut = spaced_words(text)
         assert "".join(cut) == " " + text
-        assert [i for of in words.segment(cut) for i in of] == brute.a.encode(" " + text, add_special_tokens=False).ids
+        assert words.segment(cut)[0].tolist() == brute.a.encode(" " + text, add_special_tokens=False).ids
+        assert "\u2581" in text or pieces.flat(cut, pieces.token_bytes())[0].tolist() == brute.b.encode(text)
