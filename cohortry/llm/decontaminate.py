@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.text import raw_texts, rolling, word_codes, words
+from cohortry.llm.text import raw_texts, rolling, sliding, word_codes, words
 
 BITS, BLOCK = 64, 8
 _GATE = 1 << 20
@@ -17,11 +18,12 @@ _GATE = 1 << 20
 
 @dataclass(frozen=True)
 class LeakSettings:
-    """`radius` of 23 bits lies about five standard deviations beyond what two windows of similarity 0.8 differ by."""
+    """`radius` of 27 bits lies over five standard deviations beyond what two windows of similarity 0.8 differ by, if no shingle comes twice
+    in either; it doesn't apply to others."""
 
     width: int = 5
     similarity: float = 0.8
-    radius: int = 23
+    radius: int = 27
     items_at_once: int = 20_000
 
 
@@ -43,12 +45,24 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(left, right).sum() / np.maximum(left, right).sum())
 
 
+def _latest_repeat(grams: np.ndarray, size: int) -> np.ndarray:
+    """For every window of `size` shingles the last place before which one of its shingles stands already: the window repeats one if that
+    place lies in it."""
+    order = np.argsort(grams, kind="stable")
+    before = np.full(len(grams), -1, dtype=np.int64)
+    same = grams[order[1:]] == grams[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return sliding(before, size, np.maximum)
+
+
 class ItemIndex:
     """Items of one benchmark block, searchable by window fingerprints.
 
-    A fingerprint within `radius` of an item's agrees with it up to radius // 8 bits in one of eight byte blocks; the tables list,
-    for every block and byte, all items that near, so a look-up of eight bytes returns every item within the radius. A window
-    without any shingle of an item has similarity zero to it, so only windows that hold one are fingerprinted.
+    Shared shingles name the items that a text may hold, and windows with too few of an item's shingles for the similarity are
+    left out, which loses none. Of the rest those within `radius` of the item's fingerprint go to the exact check: such a fingerprint
+    agrees with the item's up to radius // 8 bits in one of eight byte blocks, so tables of blocks and bytes find them, then all bits
+    are compared. Where shingles repeat, in the item or the window, their counts weigh in the fingerprint and similar windows may lie
+    far off: these all go to the exact check.
     """
 
     def __init__(self, items: list[tuple[int, bytes]], settings: LeakSettings):
@@ -62,6 +76,7 @@ class ItemIndex:
                 self.shingles.append(rolling(codes, width))
                 widths.append(width)
         self.widths = np.array(widths, dtype=np.int64)
+        self.repeats = [len(np.unique(x)) < len(x) for x in self.shingles]
         n = len(self.ids)
         self.prints = _prints(np.stack([_signs(x).sum(axis=0) for x in self.shingles])) if n else np.zeros(0, np.uint64)
         self.gates: dict[int, tuple] = {}
@@ -108,23 +123,35 @@ class ItemIndex:
     def _leak(self, grams: np.ndarray, hits: np.ndarray, k: int):
         want = self.shingles[k]
         size = min(len(want), len(grams))
-        # window starts that hold a hit, as runs of neighbouring starts
-        first = np.maximum(hits - size + 1, 0)
-        last = np.minimum(hits, len(grams) - size)
-        run = np.concatenate(([0], np.cumsum(first[1:] > np.maximum.accumulate(last)[:-1] + 1)))
+        # of equal long windows, this many shingles of the item at least make the similarity possible
+        share = self.settings.similarity / (1 + self.settings.similarity)
+        need = math.ceil(share * (size + len(want)) - 1e-9)
+        held = np.zeros(len(grams) + 1, dtype=np.int64)
+        held[hits + 1] = 1
+        held = np.cumsum(held)
+        windows = np.flatnonzero(held[size:] - held[:-size] >= need)
+        if not len(windows):
+            return None
+        again = np.zeros(len(windows), dtype=bool) if not self.repeats[k] else np.ones(len(windows), dtype=bool)
         best, start, over = 0.0, -1, 0
         least = self.settings.similarity
+        run = np.concatenate(([0], np.cumsum(np.diff(windows) > size)))
         for r in range(run[-1] + 1):
-            a, b = int(first[run == r].min()), int(last[run == r].max())
-            for at in range(a, b + 1, 4096):  # bounded pieces of long runs
-                stop = min(b + 1, at + 4096)
-                sums = np.cumsum(np.vstack((np.zeros((1, BITS), np.int32), _signs(grams[at : stop - 1 + size]))), axis=0)
-                sums = sums[size:] - sums[: stop - at]
-                for w in self.within_radius(_prints(sums), k):
-                    same = weighted_similarity(grams[at + w : at + w + size], want)
+            mine = np.flatnonzero(run == r)
+            for low in range(0, len(mine), 4096):  # bounded pieces of long runs
+                at = windows[mine[low : low + 4096]]
+                part = grams[at[0] : at[-1] + size]
+                if not self.repeats[k]:
+                    again[mine[low : low + 4096]] = _latest_repeat(part, size)[at - at[0]] >= at - at[0]
+                sums = np.cumsum(np.vstack((np.zeros((1, BITS), np.int32), _signs(part))), axis=0)
+                prints = _prints((sums[size:] - sums[:-size])[at - at[0]])
+                near = again[mine[low : low + 4096]].copy()
+                near[self.within_radius(prints, k)] = True
+                for w in at[near].tolist():
+                    same = weighted_similarity(grams[w : w + size], want)
                     over += same >= least
                     if same >= least and same > best:
-                        best, start = same, at + int(w)
+                        best, start = same, w
         return (best, start, over) if over else None
 
 

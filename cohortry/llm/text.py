@@ -69,3 +69,13 @@ def rolling(codes: np.ndarray, width: int) -> np.ndarray:
         out = out * MIX + codes[k : k + n]
         out ^= out >> np.uint64(29)
     return mixed(out)
+
+
+def sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
+    """Least or largest (`pick`) of every run of `size` values."""
+    out, reach = values, 1
+    while 2 * reach <= size:
+        out = pick(out[:-reach], out[reach:])
+        reach *= 2
+    n = len(values) - size + 1
+    return pick(out[:n], out[size - reach : size - reach + n])

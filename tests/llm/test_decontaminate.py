@@ -70,3 +70,33 @@ def test_empty_tables_and_repeats(spark):
     assert without_leaks(d, b.where("false")).count() == len(docs)
     twice = spark.createDataFrame([(None, items[0][1]), (5, items[0][1]), (5, items[0][1])], "doc_id long, text string")
     assert sorted([(r.doc_id, r.item_id) for r in leaks(twice, b).collect()], key=str) == sorted([(None, 0), (5, 0), (5, 0)], key=str)
+
+
+def test_leaks_of_texts_with_repeated_words(spark):
+    """Similarity 0.8 by counts, though the fingerprints lie far apart: repeats in the item, in the text, in both."""
+    pick = random.Random(4)
+    words = lambda n, stem: [f"{stem}{pick.randrange(10**6)}" for _ in range(n)]
+    docs, items = [], []
+    for k in range(2):
+        own = words(804, "a")
+        items.append((k, " ".join(own + ["pad"] * 100)))
+        docs.append((k, " ".join(words(30, "b") + own + words(130, "c"))))  # 800 of 900 shingles
+        own = words(904, "d")
+        items.append((10 + k, " ".join(own)))
+        docs.append((10 + k, " ".join(words(50, "e") + own[:804] + ["rule"] * 120 + words(50, "f"))))
+        own = words(300, "g")
+        items.append((20 + k, " ".join(own + ["x"] * 60)))
+        docs.append((20 + k, " ".join(own + ["x"] * 45 + words(50, "h"))))
+    want = brute(docs, items)
+    assert {d for d, _ in want} >= {0, 10, 20}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in leaks(d, b).collect()} == want
+
+
+def test_very_long_text(spark):
+    pick = random.Random(6)
+    item = [f"w{pick.randrange(5000)}" for _ in range(70)]
+    long = [f"w{pick.randrange(5000)}" for _ in range(120_000)]
+    long[90_000:90_000] = item
+    found = leaks(spark.createDataFrame([(1, " ".join(long))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.similarity, r.first_word) for r in found] == [(1, 7, 1.0, 90_000)]
