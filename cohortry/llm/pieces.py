@@ -13,6 +13,7 @@ import sentencepiece
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortry.llm.tokenizers import Numbered, PieceTokenizer, marked_words, model_bytes
 
@@ -39,12 +40,19 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, np.uint32, n, 4).astype(np.int64), raw[4 + 4 * n :]
 
 
+@F.pandas_udf(T.BinaryType())
+def _shrunk(texts: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pd.Series([pack(t.encode()) for t in texts], dtype=object)
+
+
 def _listed(parts: int):
     def run(frames):
+        unpack = zstandard.ZstdDecompressor().decompress
         found: dict[int, set[str]] = {}
         for frame in frames:
             for block, text in zip(frame["block"].tolist(), frame["text"]):
-                found.setdefault(block, set()).update(marked_words(text))
+                found.setdefault(block, set()).update(marked_words(unpack(text).decode()))
         for block, words in found.items():
             dealt = _dealt(words, parts)
             yield pd.DataFrame({"block": block, "part": list(dealt), "words": [_pack([w.encode() for w in of]) for of in dealt.values()]})
@@ -89,7 +97,8 @@ def _placed(parts: int, model: bytes | None):
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
         decoded = _decoder(model) if model else None
         number = Numbered()
-        codes = [np.fromiter(map(number.__getitem__, marked_words(t.as_py())), np.int32) for t in docs["text"]]
+        unpack = zstandard.ZstdDecompressor().decompress
+        codes = [np.fromiter(map(number.__getitem__, marked_words(unpack(t.as_py()).decode())), np.int32) for t in docs["text"]]
         packed = dict(zip(table["part"].to_pylist(), table["ids"].to_pylist()))
         order, sizes, flat = [], [], []
         for part, words in _dealt(number, parts).items():
@@ -133,7 +142,7 @@ def encode(
     Where no piece crosses a whitespace marker a text is segmented marked word by marked word. Texts are dealt to blocks of about
     `block_bytes` by hash. A block lists its distinct marked words; lists meet by hash of the word in the parts of a table, where
     each distinct word is segmented once; ids return to the block and are joined to its words by position. A word comes to the
-    table once per block, however frequent it is, and texts are shuffled once. Number of blocks and parts follow the bytes counted.
+    table once per block, however frequent it is, and texts are shuffled once, compressed. Number of blocks and parts follow the bytes counted.
 
     Null and empty texts have no ids. Null and repeated ids are kept, a row each. Other columns are ignored. An empty table gives
     an empty result. A text has to fit into a row; a model that may join pieces across markers is refused.
@@ -145,7 +154,7 @@ def encode(
     blocks = max(parallel, math.ceil(total / block_bytes))
     parts = max(parallel, math.ceil(12 * math.sqrt(blocks)))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    texts = given.select(block.alias("block"), "doc_id", "text").repartition(blocks, "block")
+    texts = given.select(block.alias("block"), "doc_id", _shrunk("text").alias("text")).repartition(blocks, "block")
     lists = texts.mapInPandas(_listed(parts), "block int, part int, words binary")
     table = lists.repartition(parts, "part").mapInPandas(_segmented(proto), "block int, part int, ids binary")
     return texts.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(
