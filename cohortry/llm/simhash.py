@@ -189,14 +189,18 @@ def _signatures(common: np.ndarray, s: CopySettings):
 
 
 def _shared_keys(nodes: DataFrame) -> DataFrame:
-    """Rows (key, tag, n, times) of the keys that `times` > 1 texts (tag, n, keys) hold."""
-    rows = nodes.select(F.explode("keys").alias("key"), "tag", "n")
-    return rows.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1")
+    """Rows (key, at, tag, n, times) of the keys that `times` > 1 texts (tag, n, keys) hold; `at` is the key's place in the text's order."""
+    rows = nodes.select(F.posexplode("keys").alias("at", "key"), "tag", "n")
+    counts = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    return rows.join(counts, "key")
 
 
-def _alike(n: str, m: str, s: CopySettings) -> Column:
-    """Whether sets of n and m runs can be similar enough by their sizes."""
-    return F.least(n, m) >= s.similarity * F.greatest(n, m) - 1e-9
+def _alike(n: str, at: str, m: str, there: str, s: CopySettings) -> Column:
+    """Whether sets of n and m runs whose first run in common stands at these places can be similar enough: from there on each holds all
+    that they share."""
+    need = F.ceil(s.similarity / (1 + s.similarity) * (F.col(n) + F.col(m)) - 1e-9)
+    sizes = F.least(n, m) >= s.similarity * F.greatest(n, m) - 1e-9
+    return sizes & (F.col(n) - F.col(at) >= need) & (F.col(m) - F.col(there) >= need)
 
 
 def _key_pairs(shared: DataFrame, s: CopySettings) -> DataFrame:
@@ -204,12 +208,13 @@ def _key_pairs(shared: DataFrame, s: CopySettings) -> DataFrame:
     text meets the first and the three before it, and `_open_pairs` adds what they leave apart."""
     in_key = Window.partitionBy("key")
     ordered = in_key.orderBy("tag")
-    text = F.struct("tag", "n")
+    text = F.struct("tag", "n", "at")
     reach = F.when(F.col("times") <= s.paired, F.collect_list(text).over(ordered.rowsBetween(-s.paired, -1))).otherwise(
         F.concat(F.array(F.first(text).over(ordered.rowsBetween(Window.unboundedPreceding, 0))), F.collect_list(text).over(ordered.rowsBetween(-3, -1)))
     )
-    met = shared.withColumn("others", reach).select("tag", "n", F.explode("others").alias("other"))
-    return met.where((F.col("tag") != F.col("other.tag")) & _alike("n", "other.n", s)).select(F.col("other.tag").alias("a"), F.col("tag").alias("b")).distinct()
+    met = shared.withColumn("others", reach).select("tag", "n", "at", F.explode("others").alias("other"))
+    possible = (F.col("tag") != F.col("other.tag")) & _alike("n", "at", "other.n", "other.at", s)
+    return met.where(possible).select(F.col("other.tag").alias("a"), F.col("tag").alias("b")).distinct()
 
 
 def _few(df: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -257,17 +262,22 @@ def _similar_pairs(pairs: DataFrame, tagged: DataFrame, nodes: DataFrame, s: Cop
 def _open_pairs(shared: DataFrame, found: DataFrame, done: DataFrame, s: CopySettings) -> DataFrame:
     """Pairs (a, b) of texts that share a crowded key, lie in different components so far (`found`) and weren't compared (`done`).
 
-    The largest component of a key is only met by the others, so a key whose texts are all linked gives no row.
+    The largest component of a key is only met by the others, so a key whose texts are all linked gives no row. A pair counts at the first
+    key that it shares: a run that many texts hold stands late in their orders, where too little is left to share, unless nearly all of
+    a text is as common. Texts meet within neighbouring classes of size.
     """
     crowded = shared.where(F.col("times") > s.paired).join(found.withColumnRenamed("node", "tag"), "tag", "left")
-    crowded = durable(crowded.select("key", "tag", "n", F.coalesce("component", "tag").alias("component")))
+    crowded = durable(crowded.select("key", "at", "tag", "n", F.coalesce("component", "tag").alias("component")))
     parts = crowded.groupBy("key", "component").count()
     split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main")).where("parts > 1")
-    split = durable(split.select("key", "main"))
-    texts = crowded.join(split, "key")
-    a, b = texts.where("component != main").alias("a"), texts.alias("b")
+    size = F.floor(F.log("n") / -math.log(s.similarity) + 1e-9)
+    texts = durable(crowded.join(durable(split.select("key", "main")), "key").withColumn("size", size).withColumn(
+        "strong", F.col("n") - F.col("at") >= F.ceil(2 * s.similarity / (1 + s.similarity) * F.col("n") - 1e-9)))
+    # of a similar pair the smaller text, at least, holds enough from the key on for a partner of its own size
+    a, b = texts.where("component != main").alias("a"), texts.withColumn("near", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)]))).alias("b")
     once = (F.col("b.component") == F.col("b.main")) | (F.col("a.tag") < F.col("b.tag"))
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & _alike("a.n", "b.n", s)
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.size") == F.col("b.near")) & (F.col("a.component") != F.col("b.component")) & once
+    apart = apart & (F.col("a.strong") | F.col("b.strong")) & _alike("a.n", "a.at", "b.n", "b.at", s)
     met = a.join(b, apart).select(F.least("a.tag", "b.tag").alias("a"), F.greatest("a.tag", "b.tag").alias("b")).distinct()
     return met.join(done, ["a", "b"], "left_anti")
 

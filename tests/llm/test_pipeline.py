@@ -44,8 +44,7 @@ def test_stages(spark, tmp_path):
     assert ids(seen[1]) == {r.doc_id for r in quality_scores(docs, labels).collect() if r.predicted == 1}
     want = first_of_near_copies([(r.doc_id, r.text) for r in seen[1].collect()])
     kept = [r.doc_id for r in seen[2].collect()]
-    # fingerprints find nearly all near copies, and never join others
-    assert len(kept) == len(set(kept)) and want <= set(kept) and len(set(kept) - want) <= 2
+    assert sorted(kept) == sorted(want)
     cut = {r.doc_id: r.kept for r in without_repeats(seen[2], as_text=True).collect()}
     after = {r.doc_id: (r.text, r.n_chars) for r in seen[3].collect()}
     assert after == {d: (t, len(t)) for d, t in cut.items() if t or d in after}

@@ -169,3 +169,29 @@ def test_family_whose_members_reach_only_some_others(spark, paired):
     kept = {r.doc_id for r in one_of_each_group(table, settings=CopySettings(paired=paired)).collect()}
     assert kept == linked_groups(texts)
     assert 10 < len(kept) < 50
+
+
+@pytest.mark.parametrize("paired", [2, 32])
+def test_common_line_in_many_short_texts(spark, paired):
+    """Texts that share little but one line meet in its runs; only those alike beyond it are copies."""
+    pick = random.Random(21)
+    line = [f"common{i}" for i in range(14)]
+    texts = []
+    for k in range(1200):
+        own = [f"own{pick.randrange(60)}" for _ in range(pick.choice([1, 2, 3, 5, 8]))]
+        texts.append(" ".join(own + line if k % 2 else line + own))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    kept = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"), settings=CopySettings(paired=paired))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in range(len(rows))})
