@@ -110,3 +110,25 @@ METRIC_FIELDS = ["seed", "fold", "macro_f1"]
 
 # Fixed value of the shadow gate.
 DEVICE_CLASS = "IMDRF_Class_II"
+
+# What an acceptance review asks for, as (kind, least number of files, whether its lack blocks, globs).
+_FIGURES = ["csv", "json", "parquet", "xlsx", "npy", "npz"]
+ACCEPTANCE = [
+    ("split_manifests", 5, True, [f"{f}/**/splits_seed_*.json" for f in ("outputs", "audit", "artifacts")]),
+    ("per_fold_metrics", 25, True, [f"{f}/**/{n}" for f in ("outputs", "audit", "artifacts") for n in ("metrics.json", "*metrics.json")]),
+    ("per_fold_predictions", 25, True, ["outputs/**/*prediction*.csv", "outputs/**/*pred*.parquet", "audit/**/*prediction*.csv",
+                                        "artifacts/**/*prediction*.csv", "artifacts/**/*pred*.parquet"]),
+    ("model_checkpoints", 25, True, ["outputs/**/model.joblib", "outputs/**/*checkpoint*", "audit/**/model.joblib", "audit/**/*model.joblib", "audit/**/*checkpoint*",
+                                     "artifacts/**/model.joblib", "artifacts/**/*model.joblib", "artifacts/**/*checkpoint*", "artifacts/**/*.pt", "artifacts/**/*.pth"]),
+    ("hashes", 1, True, ["outputs/**/*hash*.json", "audit/**/*hash*", "artifacts/**/*hash*", "artifacts/**/*checksum*"]),
+    ("statistical_scripts", 1, True, ["scripts/**/*stat*.py", "scripts/**/*bootstrap*.py", "scripts/**/*mcnemar*.py", "scripts/**/*nadeau*.py",
+                                      "audit/**/*stat*.py", "artifacts/**/*stat*.py"]),
+    ("figure_inputs", 1, True, [f"figures/**/*.{x}" for x in _FIGURES] + [f"audit/**/figure_inputs/**/*.{x}" for x in _FIGURES[:4]] + ["audit/**/*figure*input*"]
+     + [f"artifacts/**/figure_inputs/**/*.{x}" for x in _FIGURES[:4]] + ["artifacts/**/*figure*input*"]),
+    ("censoring_audit", 1, True, [f"{f}/**/*{n}*" for f in ("outputs", "audit", "artifacts") for n in ("censor", "ipcw", "60*month")]),
+    ("locked_external_validation", 1, True, ["outputs/**/*locked*external*", "outputs/**/*external*validation*", "outputs/**/*transfer*",
+                                             "audit/**/*external*validation*", "artifacts/**/*external*validation*", "artifacts/**/*locked*external*"]),
+    ("edge_profiling", 1, True, ["outputs/**/*profil*", "outputs/**/*jetson*", "outputs/**/*latency*log*", "outputs/**/*power*", "audit/**/*profil*",
+                                 "artifacts/**/*profil*", "artifacts/**/*jetson*", "artifacts/**/*latency*log*"]),
+    ("environment_lock", 4, False, ["environment.yml", "requirements.txt", "requirements-lock.txt", "Dockerfile", "artifacts/**/*environment*", "audit/**/*environment*"]),
+]

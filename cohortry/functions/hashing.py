@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +25,11 @@ def poisson_weight(u: Column) -> Column:
     for bound in POISSON_ONE:
         weight = weight + (u >= F.lit(bound)).cast("int")
     return weight
+
+
+def multiplicities(units: list[str], replicates: int, seed: int) -> np.ndarray:
+    """Units x replicates: the draws of a bootstrap, the same as ``resample.replicate_rows`` gives by columns."""
+    blocks = range((replicates + 3) // 4)
+    digests = b"".join(md5(f"boot|{seed}|{b}|{unit}".encode()).digest() for unit in units for b in blocks)
+    draws = np.frombuffer(digests, dtype=">u4").reshape(len(units), -1)[:, :replicates] / 4294967296.0
+    return np.searchsorted(np.array(POISSON_ONE), draws, side="right").astype(float)

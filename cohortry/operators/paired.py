@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from cohortry.functions import tails
 from cohortry.functions.vectors import argmax_first
 from cohortry.operators.concordance import concordance
-from cohortry.operators.resample import replicate_rows
+from cohortry.operators.replicates import paired_replicates
 from cohortry.session import durable
 
 
@@ -68,12 +68,8 @@ def paired_concordance_test(df: DataFrame, *, unit: str = "row_id", time: str =
     slim = df.select(unit, F.col(time).alias("t"), F.col(event).alias("event"), model_risk, comparator_risk)
     whole = concordance(slim.select("t", "event", sides).select("t", "event", "s.*"), keys=["side"], rows_per_range=rows_per_range)
     point = {r["side"]: r["ipcw_c_index"] for r in whole.collect()}
-    drawn = replicate_rows(slim, unit=unit, replicates=replicates, seed=seed).select("t", "event", "rep", "w", sides)
-    drawn = drawn.select("t", "event", "rep", "w", "s.*")
-    per_draw = concordance(drawn, keys=["rep", "side"], weight="w", rows_per_range=rows_per_range)
-    diffs = durable(per_draw.groupBy("rep").agg(
-        (F.max(F.when(F.col("side") == "model", F.col("ipcw_c_index")))
-         - F.max(F.when(F.col("side") == "comparator", F.col("ipcw_c_index")))).alias("d")))
+    drawn = paired_replicates(slim, unit=unit, time="t", event="event", risks=[model_risk, comparator_risk], replicates=replicates, seed=seed, limit=rows_per_range)
+    diffs = durable(drawn.select("rep", (F.col("c0") - F.col("c1")).alias("d")))
     error, valid = diffs.agg(F.stddev_samp("d"), F.count("d")).first()
     if valid < 2:
         raise ValueError("bootstrap draws contain too few comparable event pairs")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from hashlib import md5
+from json import loads
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.fixed import SEEDS
-from cohortry.functions.hashing import POISSON_ONE, hash_uniform, poisson_weight
+from cohortry.functions.hashing import hash_uniform, multiplicities, poisson_weight
 from cohortry.operators.ordered import enrich, row_numbers
+from cohortry.operators.replicates import Quantile, quantile_draws
 from cohortry.session import durable
 
 
@@ -69,6 +70,45 @@ def repeated_splits(df: DataFrame, *, seeds=SEEDS, folds: int = 5, val_fraction:
     return joined.select(row_id, F.explode("_roles").alias("_role")).select("_role.seed", "_role.fold", row_id, "_role.role")
 
 
+def balanced_group_folds(df: DataFrame, *, seeds=SEEDS, folds: int = 5, strata=("label", "event"), group: str = "patient_id", units_per_part: int = 100_000,
+                         rows_per_range: int | None = None) -> DataFrame:
+    """Table (seed, group, fold): whole groups dealt so that every stratum is spread evenly over the folds.
+
+    A group counts with its rows in every stratum.  Groups with the same counts are interchangeable: in hash order they go round the folds,
+    which adds the same to each.  What doesn't fill a round, fewer than ``folds`` groups per kind, goes one by one, most uneven first, to
+    the fold where the strata's shares stay closest; beyond ``units_per_part`` such groups that happens in parts, each even by itself.
+    """
+    cells = df.groupBy(F.col(group).alias("_unit"), _stratum([c for c in strata if c in df.columns]).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    units = durable(cells.groupBy("_unit").agg(F.to_json(F.sort_array(F.collect_list(F.struct("s", "n")))).alias("_kind")))
+    sizes = units.groupBy("_kind").agg(F.count(F.lit(1)).alias("_m"))
+    dealt = enrich(units, durable(sizes), "_kind", size_column="_m").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    dealt = row_numbers(dealt.withColumn("_u", hash_uniform("balance", F.col("seed"), F.col("_unit"))), ["seed", "_kind"], ["_u", "_unit"], "_place",
+                        rows_per_range=rows_per_range)
+    start = F.floor(hash_uniform("start", F.col("seed"), F.col("_kind")) * folds)
+    dealt = durable(dealt.withColumn("_whole", F.col("_place") <= F.col("_m") - F.col("_m") % folds))
+    even = dealt.where("_whole").select("seed", F.col("_unit").alias(group), ((F.col("_place") - 1 + start) % folds).cast("int").alias("fold"))
+    rest = dealt.where("not _whole")
+    parts = max(1, -(-rest.count() // (units_per_part * len(list(seeds)))))
+    kind = dict(units.dtypes)["_unit"]
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        kinds = [{c["s"]: c["n"] for c in loads(k)} for k in pdf["_kind"]]
+        names = sorted({s for k in kinds for s in k})
+        counts = np.array([[k.get(s, 0) for s in names] for k in kinds], dtype=float)
+        whole = np.maximum(counts.sum(0), 1.0)
+        order = np.lexsort((pdf["_u"].to_numpy(), -counts.std(1)))
+        held, fold = np.zeros((folds, len(names))), np.zeros(len(pdf), int)
+        for i in order:
+            tried = held[None] + np.eye(folds)[:, :, None] * counts[i]
+            uneven = (tried / whole).std(axis=1).mean(axis=1)
+            fold[i] = np.lexsort((np.arange(folds), held.sum(1), np.round(uneven, 12)))[0]
+            held[fold[i]] += counts[i]
+        return pd.DataFrame({"seed": pdf["seed"], group: pdf["_unit"], "fold": fold})
+
+    placed = rest.withColumn("_part", F.pmod(F.xxhash64("_unit"), F.lit(parts))).groupBy("seed", "_part").applyInPandas(greedy, f"seed int, `{group}` {kind}, fold int")
+    return even.unionByName(placed)
+
+
 def grouped_folds(df: DataFrame, *, seed, folds: int = 5, group: str = "patient_id", name: str = "fold") -> DataFrame:
     """Plain grouped folds by hash of the group: no shuffle at all."""
     return df.withColumn(name, F.floor(hash_uniform("fold", seed, F.col(group)) * folds).cast("int"))
@@ -96,14 +136,6 @@ def replicate_rows(df: DataFrame, *, unit: str, replicates: int, seed: int = 42)
     return drawn.where((F.col("w") > 0) & (F.col("rep") < replicates))
 
 
-def multiplicities(units: list[str], replicates: int, seed: int) -> np.ndarray:
-    """Units x replicates: the same draws as :func:`replicate_rows`."""
-    blocks = range((replicates + 3) // 4)
-    digests = b"".join(md5(f"boot|{seed}|{b}|{unit}".encode()).digest() for unit in units for b in blocks)
-    draws = np.frombuffer(digests, dtype=">u4").reshape(len(units), -1)[:, :replicates] / 4294967296.0
-    return np.searchsorted(np.array(POISSON_ONE), draws, side="right").astype(float)
-
-
 def replicate_sums(df: DataFrame, sums: dict[str, Column], *, unit: str, keys=(), replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Rows (keys, rep, sums): each sum with every unit counted as often as the replicate drew it; nulls add nothing.
 
@@ -148,12 +180,17 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 def bootstrap_draws(df: DataFrame, value: str, *, unit: str, replicates: int = 1000, seed: int = 42,
                     statistic: Callable[[Column, Column], Column] = weighted_mean) -> DataFrame:
-    """One statistic per replicate; ``statistic`` builds an aggregate from the value and multiplicity columns."""
+    """One statistic per replicate; ``statistic`` builds an aggregate from the value and multiplicity columns.
+
+    Means and a :class:`Quantile` repeat no row; any other statistic is aggregated over rows repeated per replicate.
+    """
     if replicates < 1:
         raise ValueError("replicates must be positive")
     if statistic is weighted_mean:
         sums = replicate_sums(df, {"_s": F.col(value), "_n": F.lit(1)}, unit=unit, replicates=replicates, seed=seed)
         return sums.where("_n > 0").select("rep", (F.col("_s") / F.col("_n")).alias("draw"))
+    if isinstance(statistic, Quantile):
+        return quantile_draws(df, value, statistic.q, unit=unit, replicates=replicates, seed=seed)
     drawn = replicate_rows(df.select(unit, value), unit=unit, replicates=replicates, seed=seed)
     return drawn.groupBy("rep").agg(statistic(F.col(value), F.col("w")).alias("draw"))
 

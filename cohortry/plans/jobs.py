@@ -9,17 +9,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.fixed import CUTPOINTS, HORIZON, SEEDS
+from cohortry.fixed import ARTIFACT_STATUS, ARTIFACT_VERSION, AUDIT_SECTIONS, CUTPOINTS, HORIZON, N_CLASSES, SEEDS, STATE_WIDTH, TREATMENT_COORDS
 from cohortry.functions.endpoint import immature, months_to_class
 from cohortry.functions.vectors import total
-from cohortry.operators import contrasts, cox, features, fusion, learners, longitudinal, metrics, moments, paired, person_period, resample
+from cohortry.operators import contrasts, cox, features, fusion, learners, longitudinal, metrics, moments, networks, paired, person_period, resample, scenarios
 from cohortry.operators.lifetable import censoring_curve
 from cohortry.operators.resample import repeated_splits
 from cohortry.plans import paths, views
 from cohortry.session import checkpoint_dir, durable
 from cohortry.sources import artifacts, sinks
 from cohortry.sources.cohort import validate_cohort
-from cohortry.streaming import monitor
+from cohortry.streaming import chain, monitor
 
 
 # discrete-time hazard model
@@ -64,7 +64,41 @@ def fit_discrete(train: DataFrame, names, *, time: str = "t", event: str = "even
     return DiscreteModel(names, mean, scale, [base + beta[i] for i in range(k)], per, curve)
 
 
-def evaluate_discrete(model: DiscreteModel, df: DataFrame, *, time: str = "t", event: str = "event", label: str = "label", cutpoints=CUTPOINTS) -> DataFrame:
+@dataclass
+class DiscreteNetwork:
+    """Hazards of a trained network on standardised features."""
+
+    names: list[str]
+    mean: list[float]
+    scale: list[float]
+    trained: networks.Trained
+    curve: DataFrame
+
+    def logits(self) -> Column:
+        return self.trained.outputs(F.array(*[(F.col(n) - F.lit(m)) / F.lit(s) for n, m, s in zip(self.names, self.mean, self.scale)]), "hazard")
+
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        return df.withColumn("_z", self.logits()).withColumn(out, person_period.hazards_to_probabilities("_z")).drop("_z")
+
+
+def fit_discrete_network(train: DataFrame, valid: DataFrame, names, *, time: str = "t", event: str = "event", cutpoints=CUTPOINTS, hidden=(256, 128, 64),
+                         epochs: int = 100, patience: int = 15, rate: float = 1e-2, seed: int = 42) -> DiscreteNetwork:
+    """Discrete-time network on the weighted person-period likelihood; early stopping on the validation rows, weighted by the training curve."""
+    names = list(names)
+    mean, scale = moments.scale_stats(train, names)
+    x = F.array(*[(F.col(n) - F.lit(m)) / F.lit(s) for n, m, s in zip(names, mean, scale)])
+    curve = censoring_curve(train, time=time, event=event)
+
+    def cells(df: DataFrame, same_rows: bool) -> DataFrame:
+        rows = person_period.with_targets(df.withColumn("_x", x), time=time, event=event, cutpoints=cutpoints)
+        return person_period.with_cell_weights(rows, curve, time=time, cutpoints=cutpoints, same_rows=same_rows)
+
+    trained = networks.fit_hazard_network(cells(train, True), cells(valid, False), "_x", inputs=len(names), hidden=hidden, intervals=len(cutpoints),
+                                          epochs=epochs, patience=patience, rate=rate, seed=seed)
+    return DiscreteNetwork(names, mean, scale, trained, curve)
+
+
+def evaluate_discrete(model: DiscreteModel | DiscreteNetwork, df: DataFrame, *, time: str = "t", event: str = "event", label: str = "label", cutpoints=CUTPOINTS) -> DataFrame:
     """Likelihood with the training weights, weight range, maturity counts and class metrics, as one row."""
     scored = durable(model.score(df).withColumn("_z", model.logits()))
     targets = person_period.with_cell_weights(person_period.with_targets(scored, time=time, event=event, cutpoints=cutpoints), model.curve, time=time, cutpoints=cutpoints, same_rows=False)
@@ -140,7 +174,7 @@ def repeated_validation(df: DataFrame, columns=None, *, seeds=SEEDS, folds: int
     table = reduce(DataFrame.unionByName, predictions)
     long = reduce(DataFrame.unionByName, results)
     if output:
-        sinks.write_predictions(sinks.prediction_table(table, truth=label, event=event, time=time, extra=("variant",)), f"{output}/predictions")
+        sinks.write_predictions(sinks.prediction_table(table, truth=label, event=event, time=time, extra=("variant",)), f"{output}/predictions", whole=True)
         sinks.write_metrics(long, f"{output}/metrics")
         sinks.write_metrics(sinks.metric_summary(long, keys=("variant",)), f"{output}/metrics_summary")
     return table, long
@@ -203,6 +237,65 @@ def locked_validation(rows: DataFrame, settings: paths.Settings = paths.FULL) ->
     return locked_run(path, manifest, external, trusted=True)
 
 
+# scenario report
+
+def fit_scenarios(path: paths.FittedPath, train: DataFrame, *, row_id: str = "row_id") -> tuple[scenarios.Sweep, learners.LinearModel]:
+    """Templates per arm and arm propensities from the coordinates before treatment, on the training rows' states."""
+    if path.representation.width != STATE_WIDTH:
+        raise ValueError("scenarios need a path on the state")
+    states = durable(path.representation.apply(features.observed_actions(train), [row_id, "arm"]))
+    before = states.withColumn("_before", F.slice("x", 1, TREATMENT_COORDS.start))
+    return scenarios.fit_sweep(states, state="x"), learners.fit_propensity(before, "_before", "arm")
+
+
+def scenario_report(path: paths.FittedPath, df: DataFrame, sweep: scenarios.Sweep, propensity: learners.LinearModel, *, draws: DataFrame | None = None,
+                    guidelines: DataFrame | None = None, clinical_only: bool = True, row_id: str = "row_id") -> DataFrame:
+    """Ranked scenarios of every subject from a fitted path: each arm's forced state goes through base models, fusion and calibration.
+
+    The recorded action is the factual arm and is never inferred; the phenotype is that of the unchanged state.  ``draws`` (row_id, arm, array)
+    gives intervals, ``guidelines`` confidences; without them the clinical view, which asks for both, is empty.
+    """
+    states = path.representation.apply(features.observed_actions(df), [row_id, "arm"]).withColumnRenamed("arm", "factual")
+    if path.phenotypes is not None:
+        states = path.phenotypes.assign(states, "_cluster")
+    before = [F.col("x")[i] for i in range(TREATMENT_COORDS.start)]
+    states = durable(states.withColumn("propensity", propensity.proba(before)))
+    keep = [c for c in (row_id, "factual", "propensity", "_cluster") if c in states.columns]
+    scored = path.score_states(scenarios.arm_states(states, sweep, state="x", keep=keep))
+    rows = scenarios.scored_scenarios(scored, sweep, row_id=row_id)
+    limits = None if draws is None else scenarios.array_intervals(draws, states.select(row_id, "factual"), sweep, row_id=row_id)
+    return scenarios.sweep_report(rows, sweep, intervals=limits, guidelines=guidelines, row_id=row_id, clinical_only=clinical_only)
+
+
+# acceptance of written runs
+
+def write_runs(predictions: DataFrame, root: str, *, label: str = "label") -> dict:
+    """Write predictions, metrics and a model contract of every (seed, fold) as named files below ``root``; returns their manifest.
+
+    Runs are written in parallel, a task per run and kind; the driver only names files and lists digests.
+    """
+    spark = predictions.sparkSession
+    table = sinks.prediction_table(predictions, truth=label).withColumn("run", F.concat_ws("_", F.lit("run"), "seed", "fold"))
+    table.repartition("run").write.partitionBy("run").option("header", True).csv(f"{root}/outputs/predictions")
+    f1 = metrics.f1_summary(metrics.confusion(predictions, truth=label, proba="p", keys=("seed", "fold")), keys=("seed", "fold"))
+    scores = f1.select("seed", "fold", "macro_f1").withColumn("run", F.concat_ws("_", F.lit("run"), "seed", "fold"))
+    scores.repartition("run").write.partitionBy("run").json(f"{root}/outputs/metrics")
+    means = [F.avg(F.col("p")[k]).alias(f"p{k}") for k in range(N_CLASSES)]
+    models = predictions.groupBy("seed", "fold").agg(*means).withColumn("run", F.concat_ws("_", F.lit("run"), "seed", "fold"))
+    models.select("run", F.to_json(F.struct(*[f"p{k}" for k in range(N_CLASSES)])).alias("value")).repartition("run").write.partitionBy("run").text(f"{root}/outputs/model")
+    names = {"predictions": "predictions.csv", "metrics": "metrics.json", "model": "model.joblib"}
+    for kind, name in names.items():
+        artifacts.name_parts(spark, f"{root}/outputs/{kind}", name)
+    digests = {tuple(r["path"].rsplit("/", 3)[1:3]): r["sha256"] for r in artifacts.file_digests(spark, f"{root}/outputs").collect()}
+    runs = []
+    for r in scores.select("seed", "fold", "run").orderBy("seed", "fold").collect():
+        entry = {"seed": r["seed"], "fold": r["fold"]}
+        for kind, name in names.items():
+            entry |= {kind: f"outputs/{kind}/run={r['run']}/{name}", f"{kind}_sha256": digests[kind, f"run={r['run']}"]}
+        runs.append(entry)
+    return {"schema_version": ARTIFACT_VERSION, "evidentiary_status": ARTIFACT_STATUS, "fold_runs": runs, **{name: ["listed"] for name in AUDIT_SECTIONS}}
+
+
 # observational, statistical and longitudinal reports
 
 def observational_report(df: DataFrame, covariates, *, reference: int, horizon: float, folds: int = 5, trim: float = 0.05, replicates: int = 1000, seed: int = 42) -> DataFrame:
@@ -270,7 +363,25 @@ def cox_baseline(train: DataFrame, test: DataFrame, *, columns=None, time: str =
 
 
 
-# monitor on a stream
+# streams drained into tables
+
+def _drained(watched: DataFrame, spark: SparkSession, schema: str) -> DataFrame:
+    place = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    run = (watched.writeStream.format("parquet").option("path", f"{place}/table").option("checkpointLocation", f"{place}/progress")
+           .outputMode("append").trigger(availableNow=True).start())
+    run.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{place}/table")
+
+
+def run_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drain the conversations table through the streaming log append into a table and read it back."""
+    place = f"{sf_dir}/conversations.parquet"
+    found = spark.read.parquet(place)
+    single = {f.rstrip("/").rsplit("/", 1)[-1] for f in found.inputFiles()} == {"conversations.parquet"}
+    reader = spark.readStream.schema(found.schema)
+    stream = reader.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir) if single else reader.parquet(place)
+    return _drained(chain.append_stream(views.as_log(stream)), spark, chain.OUTPUT)
+
 
 def run_monitor_stream(spark: SparkSession, sf_dir: str, *, files_per_batch: int = 64, gradient: Column | None = None) -> DataFrame:
     """Drain the events table, a file or a folder of files, through the streaming monitor into a table and read it back."""
@@ -287,8 +398,4 @@ def run_monitor_stream(spark: SparkSession, sf_dir: str, *, files_per_batch: int
     if gradient is not None:
         rows = rows.withColumn("gradient", gradient)
     watched = monitor.monitor_stream(rows, key="event_type", anchor=[0.4, 0.3, 0.3], gradient=None if gradient is None else "gradient")
-    place = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    run = (watched.writeStream.format("parquet").option("path", f"{place}/table").option("checkpointLocation", f"{place}/progress")
-           .outputMode("append").trigger(availableNow=True).start())
-    run.awaitTermination()
-    return spark.read.schema(monitor.OUTPUT).parquet(f"{place}/table")
+    return _drained(watched, spark, monitor.OUTPUT)

@@ -258,6 +258,19 @@ oracle("explanation_report", """SELECT *, loss_pred+0.4::DOUBLE*loss_cal+0.3::DO
   (SELECT avg(abs(tanh(5*(x1*0.1::DOUBLE))-tanh(5*x1*0.3::DOUBLE))+abs(tanh(5*(-x2*0.2::DOUBLE))-tanh(5*x2*-0.2::DOUBLE))+abs(tanh(5*-0.05::DOUBLE)-tanh(5*0.1::DOUBLE)))/3 AS loss_exp FROM predictions WHERE label IS NOT NULL) CROSS JOIN
   (SELECT (greatest(0,-avg(x1*0.1::DOUBLE))+0.05::DOUBLE)/2 AS loss_clin FROM predictions WHERE label IS NOT NULL)""", "loss_pred loss_cal loss_exp loss_clin loss_total", **LABEL_STEPS)
 
+# networks: losses of a linear hazard net before and after its first step, which moves every weight by the rate against the sign of its gradient
+_FOLD = u("fold|42", "patient_id")
+_NLL = "sum(CASE WHEN {where} THEN cell_weight*(greatest(z,0)-z*target+ln(1+exp(-abs(z)))) ELSE 0 END)/count(DISTINCT CASE WHEN {where} AND cell_weight>0 THEN row_id END)"
+oracle("discrete_network_start", f"""SELECT epoch, {_NLL.format(where='fold<4')} AS train_nll, {_NLL.format(where='fold=4')} AS valid_nll
+  FROM (SELECT c.*, epoch, epoch*(b+u*x1+v*x2) AS z FROM net_cells c JOIN net_step s USING (interval) CROSS JOIN (SELECT unnest([0::BIGINT,1::BIGINT]) AS epoch)) GROUP BY epoch""",
+       "train_nll valid_nll", cells=CELLS, bounds=BOUND, weighted=WEIGHTED, net_cells=f"SELECT *, floor({_FOLD}*5)::INT AS fold FROM weighted",
+       net_slope="SELECT interval, " + ", ".join(f"sum(cell_weight*(0.5::DOUBLE-target)*{x})/any_value(whole) AS g{i}" for i, x in enumerate(("1", "x1", "x2")))
+       + " FROM net_cells CROSS JOIN (SELECT count(DISTINCT row_id) AS whole FROM net_cells WHERE fold<4 AND cell_weight>0) WHERE fold<4 GROUP BY interval",
+       net_step="SELECT interval, " + ", ".join(f"-0.05::DOUBLE*g{i}/(abs(g{i})+1e-8::DOUBLE) AS {n}" for i, n in enumerate("buv")) + " FROM net_slope")
+oracle("discrete_network", f"SELECT count(*) AS rows, count(*) AS sum_to_one, true AS kept_is_least, true AS ended_by_rule, true AS loss_agrees, true AS below_start FROM cohort WHERE floor({_FOLD}*5)=4")
+oracle("softmax_boosting", f"SELECT count(*) AS rows, count(*) AS sum_to_one, 500::BIGINT AS rounds, 0::BIGINT AS rises FROM labelled WHERE label IS NOT NULL AND floor({_FOLD}*5)=4")
+oracle("softmax_network", f"SELECT count(*) AS rows, count(*) AS sum_to_one, count(*) AS arms_sum_to_one, true AS kept_is_least, true AS below_start FROM labelled WHERE label IS NOT NULL AND floor({_FOLD}*5)=4")
+
 # splits and tests
 STRATUM = "coalesce(label::VARCHAR,'null')||'|'||event"
 oracle("repeated_splits", """SELECT s.seed::BIGINT AS seed, s.fold::BIGINT AS fold, c.row_id, s.role FROM cohort c JOIN (
@@ -270,6 +283,8 @@ oracle("repeated_splits", """SELECT s.seed::BIGINT AS seed, s.fold::BIGINT AS fo
          SELECT *, ('0x'||substr(md5(concat('split|',seed,'|',patient_id)),1,8))::BIGINT AS uu FROM units CROSS JOIN (SELECT unnest([42,123,2024,31415,65537]) AS seed))""",
        grid="SELECT *, ('0x'||substr(md5(concat('val|',seed+fold,'|',patient_id)),1,8))::BIGINT AS v FROM dealt CROSS JOIN (SELECT unnest(range(5)) AS fold)")
 oracle("grouped_folds", f"SELECT row_id, floor({u('fold|42', 'patient_id')}*5)::BIGINT AS fold FROM cohort")
+oracle("balanced_group_folds", f"SELECT seed::BIGINT AS seed, {STRATUM} AS stratum, count(*) AS rows, true AS even FROM labelled CROSS JOIN (SELECT unnest([42,123,2024,31415,65537]) AS seed) GROUP BY ALL")
+oracle("prediction_rerun", f"SELECT 42::BIGINT AS seed, floor({u('fold|42', 'patient_id')}*5)::BIGINT AS fold, count(*) AS rows, count(*) AS streamed FROM cohort GROUP BY ALL")
 PER = "SELECT patient_id, avg(x1) AS v FROM cohort GROUP BY patient_id"
 oracle("bootstrap_interval", "SELECT (SELECT avg(v) FROM per) AS estimate, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, count(*) AS replicates FROM (SELECT rep, sum(v*w)/sum(w) AS d FROM drawn GROUP BY rep)",
        "estimate ci_low ci_high", per=PER, drawn=draws("per", "patient_id", 1000))
@@ -287,6 +302,14 @@ oracle("candidate_search", "SELECT candidate::BIGINT AS candidate, selection_sco
        "selection_score macro_f1 phase_p_residual", tried=f"SELECT label, floor({u('fold|42', 'patient_id')}*4)::INT AS fold, candidate, CASE WHEN candidate=0 THEN q ELSE p END AS c FROM predictions CROSS JOIN (SELECT unnest([0,1]) AS candidate) WHERE label IS NOT NULL",
        **f1_views("candidate,fold", "tried", "c"))
 
+# artifacts: file names of 25 runs; which kinds they satisfy and what a changed manifest breaks is known
+_KINDS = [("split_manifests", 5, True, 0), ("per_fold_metrics", 25, True, 25), ("per_fold_predictions", 25, True, 25), ("model_checkpoints", 25, True, 25), ("hashes", 1, True, 0),
+          ("statistical_scripts", 1, True, 0), ("figure_inputs", 1, True, 0), ("censoring_audit", 1, True, 0), ("locked_external_validation", 1, True, 0),
+          ("edge_profiling", 1, True, 0), ("environment_lock", 4, False, 0), ("audit_manifest", 1, True, 1)]
+oracle("acceptance_audit", " UNION ALL ".join(f"SELECT '{k}' AS kind, {m}::BIGINT AS minimum, {str(h).lower()} AS hard, {n}::BIGINT AS found, {str(n >= m).lower()} AS passed, false AS ready" for k, m, h, n in _KINDS))
+oracle("audit_manifest", """SELECT 'changed' AS manifest, scope, fault FROM (VALUES ('outputs/model/run=run_42_0/model.joblib', 'digest_mismatch'), ('42/2', 'run missing'),
+  ('figure_inputs', 'found False, wanted entries'), ('fold_runs[1].metrics', 'the path leaves the folder')) v(scope, fault)""")
+
 # fusion
 oracle("fusion_moments", "SELECT " + ", ".join(f"avg(list_dot_product({a}, {b}))/8 AS g_{i}_{j}" for i, j, a, b in ((0, 0, "p", "p"), (0, 1, "p", "q"), (1, 1, "q", "q"))) + ", avg(p[label+1])/8 AS b_0, avg(q[label+1])/8 AS b_1 FROM predictions WHERE label IS NOT NULL", "g_0_0 g_0_1 g_1_1 b_0 b_1")
 oracle("completed_probabilities", "SELECT row_id, " + ", ".join(
@@ -348,14 +371,29 @@ SWEPT = {
     "swept": "SELECT c.*, c.p-f.p AS delta FROM chances c JOIN chances f ON f.row_id=c.row_id AND f.arm=c.factual",
 }
 oracle("scenario_sweep", "SELECT row_id, factual::BIGINT AS factual, arm::BIGINT AS arm, propensity, propensity>=0.05::DOUBLE AND propensity<=0.95::DOUBLE AS estimable, p AS p_os_gt_12m, delta FROM swept", "propensity p_os_gt_12m delta", **SWEPT)
-DRAWN_P = "SELECT row_id, arm, factual, delta, propensity, d, p+0.1::DOUBLE*((('0x'||substr(md5(concat('draw|',row_id,'|',arm,'|',d)),1,8))::BIGINT/4294967296.0::DOUBLE)-0.5::DOUBLE) AS q FROM swept CROSS JOIN (SELECT unnest(range(8)) AS d)"
-oracle("clinical_sweep", "SELECT row_id, arm::BIGINT AS arm, delta, delta_ci_low, delta_ci_high, confidence FROM (SELECT row_id, arm, any_value(delta) AS delta, any_value(propensity) AS e, quantile_cont(g, 0.025) AS delta_ci_low, quantile_cont(g, 0.975) AS delta_ci_high, ('0x'||substr(md5(concat('guide|',row_id,'|',arm)),1,8))::BIGINT/4294967296.0::DOUBLE AS confidence FROM (SELECT a.*, a.q-f.q AS g FROM drawn_p a JOIN drawn_p f ON f.row_id=a.row_id AND f.d=a.d AND f.arm=a.factual) GROUP BY row_id, arm) WHERE e>=0.05::DOUBLE AND e<=0.95::DOUBLE AND confidence>=0.3::DOUBLE AND NOT (delta_ci_low<=0 AND delta_ci_high>=0)",
-       "delta delta_ci_low delta_ci_high confidence", **SWEPT, drawn_p=DRAWN_P)
+NOISE = "0.1::DOUBLE*((('0x'||substr(md5(concat('draw|',row_id,'|',arm,'|',d)),1,8))::BIGINT/4294967296.0::DOUBLE)-0.5::DOUBLE)"
+BETWEEN = lambda q: f"g[{int(q * 199) + 1}]+{q * 199 - int(q * 199):.17g}::DOUBLE*(g[{int(q * 199) + 2}]-g[{int(q * 199) + 1}])"
+oracle("clinical_sweep", f"""SELECT row_id, arm::BIGINT AS arm, delta, delta_ci_low, delta_ci_high, confidence FROM (
+  SELECT row_id, arm, delta, propensity AS e, {BETWEEN(0.025)} AS delta_ci_low, {BETWEEN(0.975)} AS delta_ci_high,
+    confidence FROM swept_differences) WHERE NOT (delta_ci_low<=0 AND delta_ci_high>=0)""", "delta delta_ci_low delta_ci_high confidence", **SWEPT,
+       swept_gated="SELECT *, propensity>=0.05::DOUBLE AND propensity<=0.95::DOUBLE AND confidence>=0.3::DOUBLE AS passes FROM (SELECT *, ('0x'||substr(md5(concat('guide|',row_id,'|',arm)),1,8))::BIGINT/4294967296.0::DOUBLE AS confidence FROM swept)",
+       swept_draws=f"SELECT row_id, factual, arm, delta, propensity, confidence, passes, [p+{NOISE} for d in range(200)] AS q FROM swept_gated WHERE passes OR arm=factual",
+       swept_differences="SELECT a.row_id, a.arm, a.delta, a.propensity, a.confidence, list_sort([a.q[i]-f.q[i] for i in range(1, 201)]) AS g FROM swept_draws a JOIN swept_draws f ON f.row_id=a.row_id AND f.arm=a.factual WHERE a.passes AND a.arm<>a.factual")
+_HELD = f"FROM cohort WHERE floor({_FOLD}*5)=4"
+oracle("fitted_scenarios", f"SELECT count(*) AS subjects, count(*) AS ranked, count(*) AS propensities_sum_to_one, 6*count(*) AS rows, count(*) AS factual_without_difference, 6*count(*) AS chances, 0::BIGINT AS with_interval {_HELD}")
 
 # monitoring, log and privacy
 ROLLING = "SELECT event_id, event_type, streaming_error*1e6 AS streaming_error_ppm, CASE WHEN streaming_error>0.32::DOUBLE THEN 'full_retrain' WHEN streaming_error>0.18::DOUBLE THEN 'soft_update' ELSE 'no_update' END AS action FROM (SELECT event_id, event_type, avg(residual) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS streaming_error FROM monitor_rows)"
 oracle("monitor_replay", ROLLING, "streaming_error_ppm")
 oracle("monitor_stream", ROLLING, "streaming_error_ppm")
+_SLOPES = [("residual/4e0", "0.4"), ("(-0.1::DOUBLE)", "0.3"), ("0.05::DOUBLE", "0.3")]
+_RAW = ", ".join(f"greatest(w[{i}]-0.005::DOUBLE*{g}-0.01::DOUBLE*(w[{i}]-{a}::DOUBLE),0)" for i, (g, a) in enumerate(_SLOPES, 1))
+ORACLES["monitor_weights"] = f"""WITH RECURSIVE rolled AS MATERIALIZED (SELECT event_id, event_type, value/250 AS residual, row_number() OVER w AS n, avg(value/250) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS e
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+  held AS (SELECT event_type, 0::BIGINT AS n, 0::BIGINT AS event_id, [0.4::DOUBLE,0.3::DOUBLE,0.3::DOUBLE] AS w FROM (SELECT DISTINCT event_type FROM rolled)
+    UNION ALL SELECT event_type, n, event_id, CASE WHEN raw IS NULL THEN w WHEN list_sum(raw)>0 THEN [v/list_sum(raw) for v in raw] ELSE [1e0/3,1e0/3,1e0/3] END FROM (
+      SELECT h.event_type, r.n, r.event_id, h.w, CASE WHEN e>0.18::DOUBLE AND e<=0.32::DOUBLE THEN [{_RAW}] END AS raw FROM held h JOIN rolled r ON r.event_type=h.event_type AND r.n=h.n+1))
+  SELECT event_id, round(w[1],6)+0e0 AS w0, round(w[2],6)+0e0 AS w1, round(w[3],6)+0e0 AS w2 FROM held WHERE n>0"""
 MOVES = [("0.5", "x1", "0.4"), ("0.3", "(-x2)", "0.35"), ("0.2", "p[1]", "0.25")]
 oracle("proximal_step", "SELECT row_id, " + ", ".join(f"CASE WHEN m0+m1+m2>0 THEN m{i}/(m0+m1+m2) ELSE 1e0/3 END AS w{i}" for i in range(3)) + " FROM (SELECT row_id, " + ", ".join(
     f"greatest({w}::DOUBLE-0.2::DOUBLE*{g}-0.1::DOUBLE*({w}::DOUBLE-{a}::DOUBLE),0) AS m{i}" for i, (w, g, a) in enumerate(MOVES)) + " FROM predictions)", "w0 w1 w2")
@@ -364,6 +402,7 @@ LINK = """WITH RECURSIVE log_rows AS ({entries}), linked AS (
   SELECT chain_id, seq, 'signed_root' AS prev_hash, sha256('signed_root'||body) AS hash FROM log_rows l WHERE seq=(SELECT min(seq) FROM log_rows m WHERE m.chain_id=l.chain_id)
   UNION ALL SELECT l.chain_id, l.seq, k.hash, sha256(k.hash||l.body) FROM linked k JOIN log_rows l ON l.chain_id=k.chain_id AND l.seq=k.seq+1) """
 ORACLES["log_append"] = LINK.format(entries=ENTRIES) + "SELECT chain_id, seq, prev_hash, hash FROM linked"
+ORACLES["log_append_stream"] = ORACLES["log_append"]
 ORACLES["log_verify"] = LINK.format(entries=ENTRIES) + """SELECT chain_id, count(*) AS entries, NOT (chain_id LIKE '%3' AND count_if(seq=1)>0) AS valid, CASE WHEN chain_id LIKE '%3' AND count_if(seq=1)>0 THEN 1::BIGINT END AS first_break FROM linked GROUP BY chain_id"""
 oracle("shadow_gate", "SELECT mode, decision, count(*) AS n FROM (SELECT CASE WHEN h>=0.85::DOUBLE THEN 'hard_abstain' WHEN h>=0.65::DOUBLE THEN 'soft_abstain' ELSE 'serve' END AS decision FROM (SELECT -("
        + "+".join(f"p[{k}]*ln(p[{k}])" for k in range(1, 9)) + ") AS h FROM predictions)) CROSS JOIN (SELECT unnest(['silent_shadow','live_closed_loop']) AS mode) GROUP BY ALL")

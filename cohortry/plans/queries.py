@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,10 @@ from cohortry.functions import endpoint, monitoring, scores
 from cohortry.functions.hashing import hash_uniform
 from cohortry.functions.vectors import argmax_first, bind, floats, normalised, total
 from cohortry.operators import (
-    attribution, concordance, contrasts, cox, features, fusion, learners, lifetable, longitudinal, metrics, moments, ood, ordered,
-    paired, person_period, phenotypes, privacy, resample, scenarios, weights)
+    attribution, boosting, concordance, contrasts, cox, features, fusion, learners, lifetable, longitudinal, metrics, moments, networks, ood, ordered,
+    paired, person_period, phenotypes, privacy, replicates, resample, scenarios, weights)
 from cohortry.plans import jobs, paths, views
-from cohortry.session import durable
+from cohortry.session import checkpoint_dir, durable
 from cohortry.sources import artifacts, cohort as cohort_source, sinks
 from cohortry.streaming import chain, monitor, shadow
 
@@ -338,6 +339,31 @@ def discrete_hazard_model(spark, sf):
     return jobs.evaluate_discrete(fitted, rows.where("fold >= 3"))
 
 
+@query
+def discrete_network_start(spark, sf):
+    """Losses of a network without hidden layers before and after its first step."""
+    rows = resample.grouped_folds(_weighted_targets(spark, sf), seed=42).withColumn("x", F.array("x1", "x2"))
+    fitted = networks.fit_hazard_network(rows.where("fold < 4"), rows.where("fold = 4"), "x", inputs=2, hidden=(), epochs=1, rate=0.05)
+    return spark.createDataFrame([(e, a, b) for e, a, b, _ in fitted.losses()], "epoch int, train_nll double, valid_nll double")
+
+
+@query
+def discrete_network(spark, sf):
+    """The default network: what early stopping kept, and its validation loss computed anew by the likelihood operator."""
+    rows = durable(resample.grouped_folds(views.labelled(spark, sf), seed=42))
+    train, valid = rows.where("fold < 3"), rows.where("fold = 3")
+    model = jobs.fit_discrete_network(train, valid, ["x1", "x2"])
+    history, kept = model.trained.history, model.trained.best_epoch
+    targets = person_period.with_cell_weights(person_period.with_targets(valid.withColumn("_z", model.logits())), model.curve, same_rows=False)
+    again = person_period.discrete_nll(durable(targets), "_z", weights="cell_weight").first()[0]
+    least = all(v >= model.trained.best_loss - 1e-6 for _, _, v in history)
+    ended = history[-1][0] == (100 if history[-1][0] - kept < 15 else kept + 15)
+    scored = model.score(rows.where("fold = 4"))
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(total(F.col("p")[k] for k in range(8)) - 1) < 1e-9).alias("sum_to_one")).select(
+        "*", F.lit(least).alias("kept_is_least"), F.lit(ended).alias("ended_by_rule"), F.lit(abs(again - model.trained.best_loss) < 1e-6).alias("loss_agrees"),
+        F.lit(model.trained.best_loss < history[0][2]).alias("below_start"))
+
+
 # metrics
 
 def _mature(spark, sf):
@@ -477,7 +503,7 @@ def bootstrap_interval(spark, sf):
 def bootstrap_median(spark, sf):
     """A statistic other than the mean: the weighted median, through the same aggregate interface."""
     per = views.cohort(spark, sf).groupBy("patient_id").agg(F.avg("x1").alias("v"))
-    return resample.bootstrap_interval(per, "v", unit="patient_id", replicates=1000, statistic=lambda v, w: F.percentile(v, F.lit(0.5), w))
+    return resample.bootstrap_interval(per, "v", unit="patient_id", replicates=1000, statistic=replicates.Quantile(0.5))
 
 
 def _fold_metrics(spark, sf):
@@ -496,6 +522,32 @@ def corrected_t_test_pvalues(spark, sf):
     return paired.corrected_t_test(_fold_metrics(spark, sf), test_fraction=0.2)
 
 
+@query
+def balanced_group_folds(spark, sf):
+    """Rows per seed and stratum, and whether no two folds differ by more than the two largest groups there."""
+    rows = views.labelled(spark, sf)
+    dealt = resample.balanced_group_folds(rows)
+    cells = rows.select("patient_id", F.concat_ws("|", F.coalesce(F.col("label").cast("string"), F.lit("null")), F.col("event").cast("string")).alias("stratum"))
+    largest = cells.groupBy("patient_id", "stratum").count().groupBy("stratum").agg(F.max("count").alias("largest"))
+    counts = dealt.join(cells, "patient_id").groupBy("seed", "stratum").pivot("fold", list(range(5))).count().na.fill(0)
+    spread = F.greatest(*[F.col(str(f)) for f in range(5)]) - F.least(*[F.col(str(f)) for f in range(5)])
+    return counts.join(largest, "stratum").select("seed", "stratum", total(F.col(str(f)) for f in range(5)).alias("rows"), (spread <= 2 * F.col("largest")).alias("even"))
+
+
+@query
+def prediction_rerun(spark, sf):
+    """Rows per run of a prediction table of which one run was written again and one streamed batch was repeated."""
+    table = sinks.prediction_table(resample.grouped_folds(views.predictions(spark, sf), seed=42).withColumn("seed", F.lit(42)))
+    place = f"{checkpoint_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    sinks.write_predictions(table, f"{place}/table")
+    sinks.write_predictions(table.where("fold = 2"), f"{place}/table")
+    source = spark.readStream.schema(spark.read.parquet(f"{place}/table").schema).parquet(f"{place}/table")
+    for turn in range(2):
+        sinks.stream_predictions(source, f"{place}/streamed", f"{place}/progress{turn}").awaitTermination()
+    count = lambda name, out: spark.read.parquet(f"{place}/{name}").groupBy("seed", "fold").agg(F.count(F.lit(1)).alias(out))
+    return count("table", "rows").join(count("streamed", "streamed"), ["seed", "fold"])
+
+
 @query
 def discordance_test(spark, sf):
     return paired.discordance_test(_mature(spark, sf), a=argmax_first("p"), b=argmax_first("q"), keys=("arm",))
@@ -504,7 +556,7 @@ def discordance_test(spark, sf):
 @query
 def paired_concordance_test(spark, sf):
     rows = views.predictions(spark, sf).withColumn("a", _risk("p")).withColumn("b", _risk("q"))
-    return paired.paired_concordance_test(rows, model_risk="a", comparator_risk="b", replicates=12)
+    return paired.paired_concordance_test(rows, model_risk="a", comparator_risk="b", replicates=1000)
 
 
 @query
@@ -516,6 +568,31 @@ def candidate_search(spark, sf):
     return jobs.search_summary(scored)
 
 
+def _written_runs(spark, sf) -> tuple[dict, str]:
+    rows = resample.grouped_folds(_mature(spark, sf), seed=42).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
+    root = f"{checkpoint_dir(spark)}/runs/{uuid.uuid4().hex}"
+    return jobs.write_runs(rows, root), root
+
+
+@query
+def audit_manifest(spark, sf):
+    """Faults of a manifest of 25 written runs: one digest changed, one run left out, one section empty, one path outside."""
+    manifest, root = _written_runs(spark, sf)
+    whole = artifacts.audit_manifest(spark, manifest, root).withColumn("manifest", F.lit("as written"))
+    runs = manifest["fold_runs"]
+    told = {**manifest, "figure_inputs": [], "fold_runs": [{**runs[0], "model_sha256": "0" * 64}, {**runs[1], "metrics": "../metrics.json"}, *runs[3:]]}
+    changed = artifacts.audit_manifest(spark, told, root).withColumn("manifest", F.lit("changed"))
+    return whole.unionByName(changed).select("manifest", "scope", "fault")
+
+
+@query
+def acceptance_audit(spark, sf):
+    """Eleven kinds of artifacts and the manifest, over the files of 25 written runs."""
+    manifest, root = _written_runs(spark, sf)
+    checks = artifacts.acceptance_checks(artifacts.file_listing(spark, root))
+    return artifacts.acceptance_report(checks, artifacts.audit_manifest(spark, manifest, root))
+
+
 # learners and fusion
 
 def _train_x(spark, sf):
@@ -553,6 +630,31 @@ def perceptron(spark, sf):
     return _accuracy(learners.fit_perceptron(rows.where("fold < 4"), "x", inputs=3, hidden=(16, 8), iterations=20).score(rows.where("fold = 4"), "r"))
 
 
+@query
+def softmax_boosting(spark, sf):
+    """500 rounds for all classes jointly: the training loss never rises and chances add up."""
+    rows = _train_x(spark, sf)
+    fitted = boosting.fit_softmax_boosting(rows.where("fold < 4"), "x", inputs=3)
+    rising = sum(b > a + 1e-9 * abs(a) for a, b in zip(fitted.losses, fitted.losses[1:]))
+    return _chances(fitted.score(rows.where("fold = 4"), "r"), "r").withColumn("rounds", F.lit(len(fitted.rounds))).withColumn("rises", F.lit(rising))
+
+
+@query
+def softmax_network(spark, sf):
+    """Class and arm heads on one body, rows weighted by their residuals' stand-in: the time under observation."""
+    rows = _train_x(spark, sf).withColumn("w", F.lit(0.25) + F.least(F.col("t"), F.lit(72.0)) / F.lit(72.0))
+    fitted = networks.fit_network(rows.where("fold < 3"), rows.where("fold = 3"), "x", inputs=3, weight="w", arm="arm")
+    history = fitted.trained.history
+    scored = rows.where("fold = 4").withColumn("r", fitted.proba()).withColumn("e", fitted.arms())
+    sums = scored.agg(F.count_if(F.abs(total(F.col("e")[k] for k in range(6)) - 1) < 1e-9).alias("arms_sum_to_one"))
+    return _chances(scored, "r").crossJoin(sums).withColumn("kept_is_least", F.lit(all(v >= fitted.trained.best_loss - 1e-6 for _, _, v in history))).withColumn(
+        "below_start", F.lit(fitted.trained.best_loss < history[0][2]))
+
+
+def _chances(scored: DataFrame, proba: str) -> DataFrame:
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(total(F.col(proba)[k] for k in range(8)) - 1) < 1e-9).alias("sum_to_one"))
+
+
 @query
 def arm_head(spark, sf):
     rows = views.cohort(spark, sf).withColumn("x", F.array("x1", "x2", F.col("t") / F.lit(50.0)))
@@ -687,7 +789,7 @@ def cross_fitted_nuisance(spark, sf):
 @query
 def refitted_rmst_contrasts(spark, sf):
     frame = contrasts.analysis_frame(views.cohort(spark, sf), ["x1", "x2"], horizon=24.0)
-    return contrasts.rmst_contrasts(frame, reference=0, tau=24.0, folds=5, replicates=8)
+    return contrasts.rmst_contrasts(frame, reference=0, tau=24.0, folds=5, replicates=1000)
 
 
 # scenarios
@@ -736,16 +838,32 @@ def scenario_sweep(spark, sf):
     return scenarios.sweep_report(rows, sweep).select("row_id", "factual", "arm", "propensity", "estimable", "p_os_gt_12m", "delta")
 
 
+def _draws(rows: DataFrame, n: int) -> DataFrame:
+    noise = lambda d: F.lit(0.1) * (hash_uniform("draw", F.col("row_id"), F.col("arm"), d) - F.lit(0.5))
+    return rows.select("row_id", "arm", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda d: F.col("p_os_gt_12m") + noise(d)).alias("draws"))
+
+
+@query
+def fitted_scenarios(spark, sf):
+    """Scenarios of a held-out fold from a path fitted on the others: representation, phenotypes, learner, fusion, calibration and propensity."""
+    rows = durable(resample.grouped_folds(views.clinical(spark, sf), seed=42).withColumn("label", F.when(~endpoint.immature("t", "event"), endpoint.months_to_class("t"))))
+    train, val, test = (rows.where(c).drop("fold") for c in ("fold < 3", "fold = 3", "fold = 4"))
+    path = paths.fit_path(train, val, paths.Settings(learners=("logistic",), starts=2))
+    report = durable(jobs.scenario_report(path, test, *jobs.fit_scenarios(path, train), clinical_only=False))
+    arms = report.groupBy("row_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.sum("propensity").alias("e"))
+    checks = arms.agg(F.count(F.lit(1)).alias("subjects"), F.count_if(F.col("ranks") == F.array(*[F.lit(i + 1) for i in range(6)])).alias("ranked"),
+                      F.count_if(F.abs(F.col("e") - 1) < 1e-9).alias("propensities_sum_to_one"))
+    cells = report.agg(F.count(F.lit(1)).alias("rows"), F.count_if((F.col("arm") == F.col("factual")) & (F.col("delta") == 0)).alias("factual_without_difference"),
+                       F.count_if(F.col("p_os_gt_12m").between(0.0, 1.0)).alias("chances"), F.count_if("uncertainty_available").alias("with_interval"))
+    return checks.crossJoin(cells)
+
+
 @query
 def clinical_sweep(spark, sf):
-    """The clinical view with eight aligned draws per subject and arm and hashed guideline confidence."""
+    """The clinical view with 200 aligned draws per subject and arm and hashed guideline confidence."""
     sweep, rows = _sweep(spark, sf)
-    sweep.draws = 8
     rows = durable(rows)
-    noise = hash_uniform("draw", F.col("row_id"), F.col("arm"), F.col("draw")) - F.lit(0.5)
-    draws = rows.select("row_id", "arm", "p_os_gt_12m", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("draw")).select(
-        "row_id", "arm", "draw", (F.col("p_os_gt_12m") + F.lit(0.1) * noise).alias("p"))
-    limits = scenarios.draw_intervals(draws, rows.select("row_id", "factual").distinct(), sweep)
+    limits = scenarios.array_intervals(_draws(rows, sweep.draws), rows.select("row_id", "factual").distinct(), sweep)
     guides = rows.select("row_id", "arm", hash_uniform("guide", F.col("row_id"), F.col("arm")).alias("confidence"))
     report = scenarios.sweep_report(rows, sweep, intervals=limits, guidelines=guides, clinical_only=True)
     return report.select("row_id", "arm", "delta", "delta_ci_low", "delta_ci_high", "confidence")
@@ -766,6 +884,14 @@ def monitor_stream(spark, sf):
     return jobs.run_monitor_stream(spark, sf).select("event_id", F.col("key").alias("event_type"), PPM(), "action")
 
 
+@query
+def monitor_weights(spark, sf):
+    """Fusion weights that the stream holds after each event: they move against a known slope on soft updates."""
+    slope = F.array(F.col("residual") / F.lit(4.0), F.lit(-0.1), F.lit(0.05))
+    found = jobs.run_monitor_stream(spark, sf, gradient=slope)
+    return found.select("event_id", *[F.col("weights")[i].alias(f"w{i}") for i in range(3)])
+
+
 @query
 def proximal_step(spark, sf):
     rows = views.predictions(spark, sf)
@@ -780,6 +906,11 @@ def log_append(spark, sf):
     return chain.append(views.log_entries(spark, sf)).select("chain_id", "seq", "prev_hash", "hash")
 
 
+@query
+def log_append_stream(spark, sf):
+    return jobs.run_log_stream(spark, sf).select("chain_id", "seq", "prev_hash", "hash")
+
+
 @query
 def log_verify(spark, sf):
     written = chain.append(views.log_entries(spark, sf))
@@ -852,13 +983,13 @@ def locked_validation_job(spark, sf):
 
 @query
 def observational_job(spark, sf):
-    return jobs.observational_report(views.cohort(spark, sf), ["x1", "x2"], reference=0, horizon=24.0, folds=5, replicates=8)
+    return jobs.observational_report(views.cohort(spark, sf), ["x1", "x2"], reference=0, horizon=24.0, folds=5, replicates=1000)
 
 
 @query
 def statistical_job(spark, sf):
     rows = views.predictions(spark, sf).withColumn("a", _risk("p")).withColumn("b", _risk("q"))
-    return jobs.statistical_report(_fold_metrics(spark, sf), rows.where("label is not null"), pred_a=argmax_first("p"), pred_b=argmax_first("q"), model_risk="a", comparator_risk="b", replicates=6)
+    return jobs.statistical_report(_fold_metrics(spark, sf), rows.where("label is not null"), pred_a=argmax_first("p"), pred_b=argmax_first("q"), model_risk="a", comparator_risk="b", replicates=1000)
 
 
 @query

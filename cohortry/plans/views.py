@@ -123,7 +123,10 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as log entries: one chain per conversation, payload = role and digest of role and text."""
-    rows = table(spark, sf_dir, "conversations")
+    return as_log(table(spark, sf_dir, "conversations"))
+
+
+def as_log(rows: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat_ws("|", "role", "text"), 256)
     return rows.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chain_id"), F.col("turn").alias("seq"), F.col("turn").alias("ts"),
                        F.struct(digest.alias("digest"), F.col("role").alias("role")).alias("payload"))

@@ -65,20 +65,27 @@ def chain_status(checked: DataFrame, *, chain: str = "chain_id", seq: str = "seq
                                       F.min(F.when(~F.col("intact"), F.col(seq))).alias("first_break"))
 
 
+OUTPUT = "chain_id string, seq bigint, body string, prev_hash string, hash string"
+
+
 def append_stream(stream: DataFrame, *, chain: str = "chain_id", seq: str = "seq", ts: str = "ts", payload: str = "payload",
                   anchor: str = ANCHOR) -> DataFrame:
-    """Streaming append: the head of each chain is keyed state."""
+    """Streaming append: the head of each chain is keyed state.  A chain's rows of one batch are one task's work."""
     def link(ident, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         head = state.get[0] if state.exists else anchor
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        before, after = [], []
-        for text in rows["body"]:
-            before.append(head)
-            head = hashlib.sha256((head + text).encode("utf-8")).hexdigest()
-            after.append(head)
+        seqs, bodies = [], []
+        for pdf in batches:
+            seqs += pdf["seq"].tolist()
+            bodies += pdf["body"].tolist()
+        order = sorted(range(len(seqs)), key=seqs.__getitem__)
+        for low in range(0, len(order), 10_000):
+            before, after, part = [], [], order[low:low + 10_000]
+            for i in part:
+                before.append(head)
+                head = hashlib.sha256((head + bodies[i]).encode("utf-8")).hexdigest()
+                after.append(head)
+            yield pd.DataFrame({"chain_id": ident[0], "seq": [seqs[i] for i in part], "body": [bodies[i] for i in part], "prev_hash": before, "hash": after})
         state.update((head,))
-        yield pd.DataFrame({"chain_id": ident[0], "seq": rows["seq"], "body": rows["body"], "prev_hash": before, "hash": after})
 
     slim = stream.select(F.col(chain).cast("string").alias("chain_id"), F.col(seq).cast("bigint").alias("seq"), body(chain, ts, payload).alias("body"))
-    return slim.groupBy("chain_id").applyInPandasWithState(
-        link, "chain_id string, seq bigint, body string, prev_hash string, hash string", "head string", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("chain_id").applyInPandasWithState(link, OUTPUT, "head string", "append", GroupStateTimeout.NoTimeout)

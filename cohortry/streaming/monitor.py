@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,22 +61,30 @@ def monitor_stream(stream: DataFrame, *, key: str, anchor: list[float], ts: str
     def step(ident, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             return
-        errors, weights = ([], start) if not state.exists else (list(state.get[0]), np.asarray(state.get[1], dtype=float))
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        means, actions, held = [], [], []
-        for value, slope in zip(rows["residual"], rows["gradient"]):
-            errors = [*errors, float(value)][-window:]
-            mean = sum(errors) / len(errors)
-            action = "full_retrain" if mean > hard else "soft_update" if mean > soft else "no_update"
-            if action == "soft_update":
-                moved = np.maximum(weights - rate * np.asarray(slope, dtype=float) - proximal * (weights - start), 0.0)
-                weights = moved / moved.sum() if moved.sum() > 0 else np.full(len(moved), 1.0 / len(moved))
-            means.append(mean)
-            actions.append(action)
-            held.append(weights.tolist())
-        state.update((errors, weights.tolist()))
-        yield pd.DataFrame({"key": ident[0], "event_id": rows["event_id"], "ts": rows["ts"], "residual": rows["residual"],
-                            "streaming_error": means, "action": actions, "weights": held})
+        held, weights = ([], start) if not state.exists else (state.get[0], np.asarray(state.get[1], dtype=float))
+        errors = deque(held, maxlen=window)
+        # plain columns are kept of a batch, and results leave in frames of bounded size
+        columns = [[], [], [], []]
+        for pdf in batches:
+            for values, name in zip(columns, ("ts", "event_id", "residual", "gradient")):
+                values.append(pdf[name].to_numpy())
+        ts, ids, residuals, slopes = (np.concatenate(c) for c in columns)
+        order = np.lexsort((ids, ts))
+        for low in range(0, len(order), 10_000):
+            means, actions, moved_to, part = [], [], [], order[low:low + 10_000]
+            for i in part:
+                errors.append(float(residuals[i]))
+                mean = sum(errors) / len(errors)
+                action = "full_retrain" if mean > hard else "soft_update" if mean > soft else "no_update"
+                if action == "soft_update":
+                    moved = np.maximum(weights - rate * np.asarray(slopes[i], dtype=float) - proximal * (weights - start), 0.0)
+                    weights = moved / moved.sum() if moved.sum() > 0 else np.full(len(moved), 1.0 / len(moved))
+                means.append(mean)
+                actions.append(action)
+                moved_to.append(weights.tolist())
+            yield pd.DataFrame({"key": ident[0], "event_id": ids[part], "ts": ts[part], "residual": residuals[part], "streaming_error": means,
+                                "action": actions, "weights": moved_to})
+        state.update((list(errors), weights.tolist()))
 
     slope = F.col(gradient) if gradient else F.array(*[F.lit(0.0) for _ in anchor])
     slim = stream.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("bigint").alias("event_id"),
