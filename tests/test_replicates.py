@@ -135,3 +135,10 @@ def test_paired_test_in_buckets(table):
     whole = paired_concordance_test(table, unit="unit", model_risk="a", comparator_risk="b", replicates=REPS).first()
     cut = paired_concordance_test(table, unit="unit", model_risk="a", comparator_risk="b", replicates=REPS, rows_per_range=40).first()
     assert [pytest.approx(x, abs=1e-6) for x in whole] == list(cut)
+
+
+@pytest.mark.parametrize("rows_per_range", [7, 20, 90])
+def test_concordance_with_tied_risks_across_ranges(table, rows_per_range):
+    whole = concordance(table.withColumn("risk", F.col("a"))).first()
+    cut = concordance(table.withColumn("risk", F.col("a")), rows_per_range=rows_per_range).first()
+    assert list(cut) == [pytest.approx(x, abs=1e-9) for x in whole]
