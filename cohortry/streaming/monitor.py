@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,32 @@ from cohortry.functions.scores import entropy
 from cohortry.operators.ordered import ROWS_PER_RANGE, row_numbers
 
 
+#: decimals of a residual that count in a mean
+DECIMALS = 18
+PLACES = Decimal(1).scaleb(-DECIMALS)
+WIDE = Context(prec=60)
+
+
+def _exact(value: float) -> Decimal | None:
+    """A residual as the decimal that it prints as; None if it doesn't fit into ``decimal(38, 18)``."""
+    if not abs(value) < 1e18:
+        return None
+    return Decimal(repr(value)).quantize(PLACES, ROUND_HALF_UP, WIDE)
+
+
+def _mean(errors) -> float:
+    """Mean of (residual, its decimal) pairs: the decimals' sum doesn't depend on their order."""
+    if any(d is None for _, d in errors):
+        return sum(e for e, _ in errors) / len(errors)
+    return float(WIDE.divide(sum(d for _, d in errors), Decimal(len(errors))).quantize(PLACES, ROUND_HALF_UP, WIDE))
+
+
 def replay(df: DataFrame, *, key: str, order, residual: str = "residual", window: int = MONITOR_WINDOW,
            block_rows: int = ROWS_PER_RANGE, rows_per_range: int | None = None) -> DataFrame:
     """Rolling mean of the last residuals per stream with the action it triggers.
 
-    Streams are cut into blocks by row number and each block also receives the few rows before it, so one busy stream
+    Residuals are summed as decimals: a mean that equals a limit isn't beyond it, in whatever order its terms are added, and replay
+    and stream agree.  Streams are cut into blocks by row number and each block also receives the few rows before it, so one busy stream
     is spread over many tasks.
     """
     numbered = row_numbers(df, [key], list(order), "seq", rows_per_range=rows_per_range)
@@ -30,8 +52,12 @@ def replay(df: DataFrame, *, key: str, order, residual: str = "residual", window
     homes = F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))
     placed = numbered.withColumn("_own", block).withColumn("_block", F.explode(homes))
     recent = Window.partitionBy(key, "_block").orderBy("seq").rowsBetween(-(window - 1), 0)
-    scored = placed.withColumn("streaming_error", F.avg(residual).over(recent)).where(F.col("_own") == F.col("_block"))
-    return scored.drop("_own", "_block").withColumn("action", update_action("streaming_error"))
+    fits = F.abs(F.col(residual).cast("double")) < 1e18
+    placed = placed.withColumn("_exact", F.when(fits, F.col(residual).cast("double").cast(f"decimal(38,{DECIMALS})")))
+    n, known = F.count(residual).over(recent), F.count("_exact").over(recent)
+    mean = (F.sum("_exact").over(recent) / F.nullif(known, F.lit(0)).cast("decimal(10,0)")).cast("double")
+    scored = placed.withColumn("streaming_error", F.when(n == known, mean).otherwise(F.avg(residual).over(recent))).where(F.col("_own") == F.col("_block"))
+    return scored.drop("_own", "_block", "_exact").withColumn("action", update_action("streaming_error"))
 
 
 def abstain(df: DataFrame, proba: str = "p") -> DataFrame:
@@ -62,7 +88,7 @@ def monitor_stream(stream: DataFrame, *, key: str, anchor: list[float], ts: str
         if state.hasTimedOut:
             return
         held, weights = ([], start) if not state.exists else (state.get[0], np.asarray(state.get[1], dtype=float))
-        errors = deque(held, maxlen=window)
+        errors = deque(((e, _exact(e)) for e in held), maxlen=window)
         # plain columns are kept of a batch, and results leave in frames of bounded size
         columns = [[], [], [], []]
         for pdf in batches:
@@ -73,8 +99,9 @@ def monitor_stream(stream: DataFrame, *, key: str, anchor: list[float], ts: str
         for low in range(0, len(order), 10_000):
             means, actions, moved_to, part = [], [], [], order[low:low + 10_000]
             for i in part:
-                errors.append(float(residuals[i]))
-                mean = sum(errors) / len(errors)
+                error = float(residuals[i])
+                errors.append((error, _exact(error)))
+                mean = _mean(errors)
                 action = "full_retrain" if mean > hard else "soft_update" if mean > soft else "no_update"
                 if action == "soft_update":
                     moved = np.maximum(weights - rate * np.asarray(slopes[i], dtype=float) - proximal * (weights - start), 0.0)
@@ -84,7 +111,7 @@ def monitor_stream(stream: DataFrame, *, key: str, anchor: list[float], ts: str
                 moved_to.append(weights.tolist())
             yield pd.DataFrame({"key": ident[0], "event_id": ids[part], "ts": ts[part], "residual": residuals[part], "streaming_error": means,
                                 "action": actions, "weights": moved_to})
-        state.update((list(errors), weights.tolist()))
+        state.update(([e for e, _ in errors], weights.tolist()))
 
     slope = F.col(gradient) if gradient else F.array(*[F.lit(0.0) for _ in anchor])
     slim = stream.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("bigint").alias("event_id"),
