@@ -142,3 +142,51 @@ def test_concordance_with_tied_risks_across_ranges(table, rows_per_range):
     whole = concordance(table.withColumn("risk", F.col("a"))).first()
     cut = concordance(table.withColumn("risk", F.col("a")), rows_per_range=rows_per_range).first()
     assert list(cut) == [pytest.approx(x, abs=1e-9) for x in whole]
+
+
+def test_digests_of_whole_arrays_are_md5():
+    from hashlib import md5
+
+    from cohortry.functions import hashing
+
+    units = ["", "7", "12345", "é" * 9, "x" * 70, "a b"]
+    found, real = [], hashing._rounds
+    hashing._rounds = lambda words, shape: found.append(shape) or real(words, shape)
+    try:
+        got = multiplicities(units, 50, 3)
+    finally:
+        hashing._rounds = real
+    assert found and got.dtype == np.uint8
+    for i, unit in enumerate(units):
+        for k in range(50):
+            u = int.from_bytes(md5(f"boot|3|{k // 4}|{unit}".encode()).digest()[4 * (k % 4):4 * (k % 4) + 4], "big") / 2 ** 32
+            assert got[i, k] == sum(u >= bound for bound in hashing.POISSON_ONE)
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_rows_cross_buckets_without_vectors(table, monkeypatch, small):
+    """Rows carry unit and time to the levels; the weights come by time, from a small table or a large one."""
+    from cohortry.operators import replicates
+
+    seen = []
+    real = replicates._ordered
+    monkeypatch.setattr(replicates, "SMALL_BYTES", small)
+    monkeypatch.setattr(replicates, "_ordered", lambda rows, *rest: seen.append(rows.dtypes) or real(rows, *rest))
+    got = by_rep(paired_replicates(table, unit="unit", time="t", event="event", risks=["a", "b"], replicates=REPS, limit=25, fan=4), "c0", "c1")
+    whole = by_rep(paired_replicates(table, unit="unit", time="t", event="event", risks=["a", "b"], replicates=REPS), "c0", "c1")
+    close(got, whole)
+    assert len(seen) > 1 and not any(kind == "binary" for dtypes in seen for _, kind in dtypes)
+
+
+def test_blocks_and_merge_levels_agree(monkeypatch):
+    from cohortry.operators import replicates
+
+    pick = np.random.default_rng(4)
+    points = np.unique(pick.integers(0, 60, (700, 2)), axis=0).astype(float)
+    mass, weight, anchors = pick.integers(0, 3, (len(points), 5)).astype(float), pick.random((len(points), 5)), pick.random(len(points)) < 0.6
+    weight *= anchors[:, None]
+    found = []
+    for bits in (0, 3, 8, 12):
+        monkeypatch.setattr(replicates, "BLOCK_BITS", bits)
+        found.append(dominated(dominance(points[:, 0], points[:, 1], anchors), mass, weight))
+    assert all(f == pytest.approx(found[0]) for f in found)
