@@ -38,6 +38,23 @@ def _mean(errors) -> float:
     return float(WIDE.divide(sum(d for _, d in errors), Decimal(len(errors))).quantize(PLACES, ROUND_HALF_UP, WIDE))
 
 
+def _columns(batches: Iterator[pd.DataFrame], width: int) -> tuple[np.ndarray, ...]:
+    """Times, ids, residuals and slopes of all frames as flat arrays: no frame and no object per row is kept."""
+    parts = [[], [], [], []]
+    for pdf in batches:
+        slopes = np.full((len(pdf), width), np.nan)
+        for i, slope in enumerate(pdf["gradient"]):
+            if slope is not None:
+                slopes[i] = slope
+        for values, name in zip(parts, ("ts", "event_id", "residual")):
+            values.append(np.array(pdf[name].to_numpy()))
+        parts[3].append(slopes)
+    out = []
+    while parts:
+        out.append(np.concatenate(parts.pop(0)))
+    return tuple(out)
+
+
 def replay(df: DataFrame, *, key: str, order, residual: str = "residual", window: int = MONITOR_WINDOW,
            block_rows: int = ROWS_PER_RANGE, rows_per_range: int | None = None) -> DataFrame:
     """Rolling mean of the last residuals per stream with the action it triggers.
@@ -89,12 +106,8 @@ def monitor_stream(stream: DataFrame, *, key: str, anchor: list[float], ts: str
             return
         held, weights = ([], start) if not state.exists else (state.get[0], np.asarray(state.get[1], dtype=float))
         errors = deque(((e, _exact(e)) for e in held), maxlen=window)
-        # plain columns are kept of a batch, and results leave in frames of bounded size
-        columns = [[], [], [], []]
-        for pdf in batches:
-            for values, name in zip(columns, ("ts", "event_id", "residual", "gradient")):
-                values.append(pdf[name].to_numpy())
-        ts, ids, residuals, slopes = (np.concatenate(c) for c in columns)
+        # results leave in frames of bounded size
+        ts, ids, residuals, slopes = _columns(batches, len(start))
         order = np.lexsort((ids, ts))
         for low in range(0, len(order), 10_000):
             means, actions, moved_to, part = [], [], [], order[low:low + 10_000]
@@ -104,7 +117,7 @@ def monitor_stream(stream: DataFrame, *, key: str, anchor: list[float], ts: str
                 mean = _mean(errors)
                 action = "full_retrain" if mean > hard else "soft_update" if mean > soft else "no_update"
                 if action == "soft_update":
-                    moved = np.maximum(weights - rate * np.asarray(slopes[i], dtype=float) - proximal * (weights - start), 0.0)
+                    moved = np.maximum(weights - rate * slopes[i] - proximal * (weights - start), 0.0)
                     weights = moved / moved.sum() if moved.sum() > 0 else np.full(len(moved), 1.0 / len(moved))
                 means.append(mean)
                 actions.append(action)

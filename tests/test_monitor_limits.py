@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cohortry.streaming import monitor
@@ -31,3 +33,21 @@ def test_residuals_that_are_no_decimals(spark):
     table = spark.createDataFrame(rows, "ts int, residual double").withColumn("stream", F.lit("k"))
     got = [r["streaming_error"] for r in monitor.replay(table, key="stream", order=["ts"], window=1).orderBy("ts").collect()]
     assert got == [0.25, None, float("inf"), 1e300]
+
+
+def test_a_long_stream_is_held_as_flat_arrays():
+    import tracemalloc
+
+    def frames(n):
+        for k in range(n):
+            i = np.arange(5_000) + 5_000 * k
+            yield pd.DataFrame({"key": "k", "event_id": i, "ts": pd.to_datetime(i, unit="s"), "residual": i / 7.0,
+                                "gradient": [None if j % 5 == 0 else np.array([j, 1.0, 2.0]) for j in i.tolist()]})
+
+    tracemalloc.start()
+    ts, ids, residuals, slopes = monitor._columns(frames(40), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000 * 90  # held as objects, a row takes over 200 bytes
+    assert ids.tolist() == list(range(200_000)) and residuals[7] == 1.0 and slopes.shape == (200_000, 3)
+    assert np.isnan(slopes[0]).all() and slopes[6].tolist() == [6.0, 1.0, 2.0] and ts[1] - ts[0] == np.timedelta64(1, "s")
