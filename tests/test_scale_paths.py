@@ -166,3 +166,10 @@ def test_batched_refits_match_single_fits(spark):
     p = z / z.sum(1, keepdims=True)
     gradient = ((p - np.eye(3)[drawn["arm"]]) * drawn["w"].to_numpy()[:, None]).T @ x + thetas[2] * [1, 1, 0]
     assert np.abs(gradient).max() < 1e-3
+
+
+def test_focal_losses_read_the_orders_once(spark, sf_dir):
+    from cohortry.plans.queries import QUERIES
+
+    plan = QUERIES["focal_loss"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window [" in line and "lead" in line for line in plan.splitlines()) == 1, plan
