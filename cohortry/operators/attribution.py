@@ -13,32 +13,50 @@ from cohortry.functions.hashing import hash_uniform
 from cohortry.functions.tails import t_two_sided
 from cohortry.functions.vectors import argmax_first, entry, total
 from cohortry.operators.metrics import brier, ipcw_brier
-from cohortry.operators.ordered import row_numbers
+from cohortry.operators.ordered import ROWS_PER_RANGE, row_numbers
 from cohortry.session import durable
 
+#: rows of all trials that a task takes
+TASK_ROWS = 500_000
+
 
 def permutation_attributions(df: DataFrame, features, score: Callable[[Callable[[str], Column]], Column], *, row_id: str = "row_id",
                              repeats: int = 5, seed: int = 42, rows_per_range: int | None = None) -> DataFrame:
     """Mean drop of the predicted-class probability when one feature is shuffled.
 
     ``score`` maps a column accessor to the probability array.  A shuffle pairs each row with the row whose place in a
-    hash order equals its own place in the id order; both places are distributed row numbers.
+    hash order equals its own place in the id order.  A row isn't repeated per trial (feature, repeat): what travels is a row's place and
+    value, once to the bucket of its hash, where it gets its place in the trial's order, and once to the row of that place.
     """
     features = list(features)
+    trials = [(f, r) for f in features for r in range(repeats)]
     held = df.select(row_id, *features, score(F.col).alias("_p")).withColumn("_class", argmax_first("_p"))
     held = held.withColumn("_base", entry("_p", F.col("_class"))).drop("_p")
     placed = durable(row_numbers(held, [], [row_id], "_place", rows_per_range=rows_per_range))
-    trials = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col(f).cast("double").alias("_swap"))
-                                 for f in features for r in range(repeats)])).alias("_trial")
-    donors = placed.select(F.col(row_id).alias("_other"), trials).select("_other", "_trial.*")
-    donors = donors.withColumn("_u", hash_uniform("perm", seed, F.col("feature"), F.col("repeat"), F.col("_other")))
-    donors = row_numbers(donors, ["feature", "repeat"], ["_u", "_other"], "_place", rows_per_range=rows_per_range)
-    targets = placed.select("*", trials).select(*placed.columns, "_trial.feature", "_trial.repeat")
-    swapped = targets.join(donors.select("feature", "repeat", "_place", "_swap"), ["feature", "repeat", "_place"])
-    proba = score(lambda name: F.when(F.col("feature") == name, F.col("_swap")).otherwise(F.col(name)))
-    drops = swapped.withColumn("_q", proba).select(
-        row_id, "feature", (F.col("_base") - entry("_q", F.col("_class"))).alias("_drop"))
-    return drops.groupBy(row_id, "feature").agg(F.avg("_drop").alias("attribution"))
+    n = placed.count()
+    # hashes are uniform, so buckets of equal width are ranges of about equal size
+    buckets = max(1, -(-n // (rows_per_range or ROWS_PER_RANGE)))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n * len(trials) // TASK_ROWS))
+    drawn = F.explode(F.array(*[F.struct(F.lit(i).alias("_trial"), hash_uniform("perm", seed, f, r, F.col(row_id)).alias("_u"), F.col(f).cast("double").alias("_swap"))
+                                for i, (f, r) in enumerate(trials)])).alias("_t")
+    donors = placed.select(F.col("_place").alias("_own"), drawn).select("_own", "_t.*").withColumn("_bucket", F.floor(F.col("_u") * buckets).cast("int"))
+    sizes = donors.groupBy("_trial", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    lower = Window.partitionBy("_trial").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = durable(sizes.select("_trial", "_bucket", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before")))
+    # places order rows with one hash as their ids do
+    within = Window.partitionBy("_trial", "_bucket").orderBy("_u", "_own")
+    ranked = donors.repartition(max(tasks, buckets * len(trials)), "_trial", "_bucket").withColumn("_rank", F.row_number().over(within))
+    ranked = ranked.join(F.broadcast(before), ["_trial", "_bucket"]).select((F.col("_before") + F.col("_rank")).alias("_place"), "_trial", "_swap")
+    swaps = ranked.repartition(tasks, "_place").groupBy("_place").agg(*[F.max(F.when(F.col("_trial") == i, F.col("_swap"))).alias(f"_s{i}") for i in range(len(trials))])
+    of_feature = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"_s{k * repeats + r}").alias(f"_swap{r}") for r in range(repeats)])
+                                     for k, f in enumerate(features)])).alias("_t")
+    swapped = placed.repartition(tasks, "_place").join(swaps, "_place").select(row_id, *features, "_class", "_base", of_feature).select("*", "_t.*").drop("_t")
+    drops = [F.col("_base") - entry(score(lambda name: F.when(F.col("feature") == name, F.col(f"_swap{r}")).otherwise(F.col(name))), F.col("_class"))
+             for r in range(repeats)]
+    told = swapped.select(row_id, "feature", *[d.alias(f"_d{r}") for r, d in enumerate(drops)]).select(
+        row_id, "feature", total(F.coalesce(F.col(f"_d{r}"), F.lit(0.0)) for r in range(repeats)).alias("_sum"),
+        total(F.col(f"_d{r}").isNotNull().cast("int") for r in range(repeats)).alias("_n"))
+    return told.groupBy(row_id, "feature").agg((F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("attribution"))
 
 
 def _mean_abs(df: DataFrame, attributions: str, width: int) -> DataFrame:
